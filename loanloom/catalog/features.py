@@ -153,7 +153,7 @@ def six_stat_profile(v: Views) -> DataFrame:
 
 def _ratio_sql(n: str, d: str) -> str:
     inf = "CAST('Infinity' AS DOUBLE)"
-    return f"CASE WHEN {d} <> 0 THEN round({n} / {d}, 4) WHEN {n} > 0 THEN {inf} WHEN {n} < 0 THEN -{inf} END"
+    return f"CASE WHEN {d} IS NULL THEN NULL WHEN {d} <> 0 THEN round({n} / {d}, 4) WHEN {n} > 0 THEN {inf} WHEN {n} < 0 THEN -{inf} END"
 
 
 @query("period_ratio_profile", "SELECT sk_id_prev, " + ", ".join(
@@ -181,7 +181,7 @@ def prev_by_contract_pivot(v: Views) -> DataFrame:
 
 @query("avg_pct_approved", """
     SELECT sk_id_curr, CASE WHEN count(*) FILTER (WHERE amt_application = 0 AND amt_credit > 0) > 0 THEN 0.0
-      ELSE round(avg(CASE WHEN amt_application <> 0 THEN amt_credit / amt_application END), 2) END AS avg_pct_approved
+      ELSE CAST(round(CAST(avg(CASE WHEN amt_application <> 0 THEN amt_credit / amt_application END) AS DECIMAL(18, 9)), 2) AS DOUBLE) END AS avg_pct_approved
     FROM prev GROUP BY 1""")
 def avg_pct_approved(v: Views) -> DataFrame:
     return applications.previous_features(v.prev, ["avg_pct_approved"], [])
@@ -213,7 +213,7 @@ def late_early_payments(v: Views) -> DataFrame:
 @query("avg_pct_paid", """
     SELECT sk_id_curr, CASE WHEN count(*) FILTER (WHERE amt_instalment = 0 AND amt_payment > 0) > 0
       THEN CAST('Infinity' AS DOUBLE)
-      ELSE round(avg(CASE WHEN amt_instalment <> 0 THEN amt_payment / amt_instalment END), 3) END AS avg_pct_instalment_paid
+      ELSE CAST(round(CAST(avg(CASE WHEN amt_instalment <> 0 THEN amt_payment / amt_instalment END) AS DECIMAL(18, 9)), 3) AS DOUBLE) END AS avg_pct_instalment_paid
     FROM inst GROUP BY 1""")
 def avg_pct_paid(v: Views) -> DataFrame:
     return applications.payment_features(v.inst, ["avg_pct_instalment_paid"])
@@ -262,10 +262,10 @@ def group_median_impute(v: Views) -> DataFrame:
 
 
 @query("daily_count_mean", """
-    SELECT date, status, count(income) AS n, round(avg(income), 4) AS mean_value FROM hw WHERE status IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT date, NULL, count(income), round(avg(income), 4) FROM hw GROUP BY 1""")
+    SELECT date, status, count(income) AS n, round(avg(income), 6) AS mean_value FROM hw WHERE status IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT date, NULL, count(income), round(avg(income), 6) FROM hw GROUP BY 1""")
 def daily_count_mean(v: Views) -> DataFrame:
-    return rounded(survey.daily_count_mean(v.hw))
+    return rounded(survey.daily_count_mean(v.hw), 6)
 
 
 @query("weekday_counts", "SELECT CAST(isodow(date) - 1 AS INT) AS dow, count(income) AS cnt_daily FROM hw GROUP BY 1")

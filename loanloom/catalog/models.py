@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cleaning, models
@@ -73,12 +72,11 @@ def train_boosted(v: Views) -> DataFrame:
 
 @query("cross_validate")
 def cross_validate(v: Views) -> DataFrame:
-    table = models.model_table(v.app, INPUTS).persist()
-    rows = table.count()
-    pipeline = Pipeline(stages=[*models.encoding_stages(INPUTS), models.logistic(rows)])
-    scores, _ = models.cross_validate(table, INPUTS.id_col, pipeline)
-    table.unpersist()
-    return v.spark.createDataFrame([("roc_auc", 5, float(scores[0]))], "metric string, folds int, mean_score double")
+    table = models.model_table(v.app, INPUTS)
+    learner = models.logistic(table.count())
+    scores = models.cross_validate(table, INPUTS.id_col, models.encoding_stages(INPUTS), learner)
+    rows = [(i, float(s[0])) for i, s in enumerate(scores)]
+    return v.spark.createDataFrame(rows, "fold int, roc_auc double")
 
 
 @query("hyperparameter_search")

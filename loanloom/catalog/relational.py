@@ -227,7 +227,7 @@ def bridge_keys(v: Views) -> DataFrame:
 
 @query("attach_target", """
     SELECT p.* EXCLUDE (amt_credit), round(p.amt_credit, 4) AS amt_credit, a.target
-    FROM prev p, app a WHERE p.sk_id_curr = a.sk_id_curr AND a.target IN (0, 1)""")
+    FROM prev p JOIN app a ON p.sk_id_curr = a.sk_id_curr AND a.target IN (0, 1)""")
 def attach_target(v: Views) -> DataFrame:
     return rel.attach_target(v.prev, v.app).withColumn("amt_credit", F.round("amt_credit", 4))
 

@@ -62,7 +62,7 @@ def weighted_sum(v: Views) -> DataFrame:
     SELECT sk_id_curr, coalesce(ext_source_1, -999) AS ext_source_1,
       round(coalesce(ext_source_2, (SELECT avg(ext_source_2) FROM app)), 6) AS ext_source_2,
       round(coalesce(ext_source_3, (SELECT median(ext_source_3) FROM app)), 6) AS ext_source_3,
-      coalesce(amt_income_total, 0) AS amt_income_total,
+      round(coalesce(amt_income_total, 0), 6) AS amt_income_total,
       coalesce(name_education_type, '<missing>') AS name_education_type
     FROM app""")
 def fill_nulls(v: Views) -> DataFrame:

@@ -173,7 +173,8 @@ def _narrow_sql(view: str) -> str:
             rule = f"""CASE WHEN min({c}) = 0 AND max({c}) = 1 AND count(DISTINCT {c}) = 2 THEN 'boolean'
                 WHEN NOT bool_and({c} = round({c})) THEN 'float'
                 WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' ELSE 'int' END"""
-        parts.append(f"SELECT '{c}' AS column_name, {rule} AS new_type FROM {view}")
+        parts.append(f"SELECT '{c}' AS column_name, max(x) AS new_type FROM (SELECT {rule} AS x FROM {view})"
+                     if c not in _BOOL else f"SELECT '{c}' AS column_name, 'boolean' AS new_type")
     return " UNION ALL ".join(parts)
 
 

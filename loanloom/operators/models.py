@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import col
@@ -220,21 +219,55 @@ def evaluator(metric: str = "areaUnderROC") -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName=metric)
 
 
+def _judge(train: DataFrame, held: DataFrame, stages: list, learner, maps: list[dict], metric: str, pool) -> list[float]:
+    """Metric of every parameter map on ``held``; the encoders are fitted on ``train`` alone."""
+    encoder = Pipeline(stages=stages).fit(train)
+    columns = [FEATURES, LABEL, WEIGHT]
+    train = encoder.transform(train).select(*columns).persist()
+    held = encoder.transform(held).select(*columns).persist()
+    judge = evaluator(metric)
+
+    def run(params: dict) -> float:
+        return judge.evaluate(learner.copy(params).fit(train).transform(held))
+
+    try:
+        return pool.map(run, maps)
+    finally:
+        train.unpersist()
+        held.unpersist()
+
+
 def cross_validate(
-    table: DataFrame, id_col: str, estimator, param_maps: list[dict] | None = None, k: int = 5,
+    table: DataFrame, id_col: str, stages: list, learner, maps: list[dict] | None = None, k: int = 5,
     metric: str = "areaUnderROC", seed: int = SEED, parallelism: int = 4,
-) -> tuple[list[float], object]:
-    """(mean metric per parameter map over stratified folds, model refitted with the best).
+) -> list[list[float]]:
+    """Per fold the metric of every parameter map; folds keep the shares of the labels."""
+    folds = stratified_folds(table, id_col, LABEL, k, seed).persist()
+    inner = max(1, parallelism // k)
+
+    def one(i: int) -> list[float]:
+        with ThreadPool(inner) as pool:
+            return _judge(
+                folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i), stages, learner, maps or [{}],
+                metric, pool,
+            )
 
-    Encoding and scaling are stages of the estimator, so they are fitted inside
-    each fold.
-    """
-    folds = stratified_folds(table, id_col, LABEL, k, seed)
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=param_maps or [{}], evaluator=evaluator(metric),
-        numFolds=k, foldCol="fold", seed=seed, parallelism=parallelism,
-    ).fit(folds)
-    return list(cv.avgMetrics), cv.bestModel
+    try:
+        with ThreadPool(min(parallelism, k)) as pool:
+            return pool.map(one, range(k))
+    finally:
+        folds.unpersist()
+
+
+def validate(
+    table: DataFrame, id_col: str, stages: list, learner, maps: list[dict], share: float = 0.25,
+    metric: str = "areaUnderROC", seed: int = SEED, parallelism: int = 4,
+) -> list[float]:
+    """Metric of every parameter map on one stratified validation part."""
+    parts = stratified_split(table, id_col, LABEL, {"train": 1 - share, "validation": share}, seed)
+    train, held = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "validation")
+    with ThreadPool(parallelism) as pool:
+        return _judge(train, held, stages, learner, maps, metric, pool)
 
 
 # Ranges the parameters are drawn from (low, high, step).
@@ -284,7 +317,7 @@ def hyperparameter_search(
     df: DataFrame, inputs: Inputs, kind: str, n: int | None = None, how: str = "folds", k: int = 5,
     seed: int = SEED, parallelism: int = 4, space: dict | None = None,
 ) -> tuple[DataFrame, object]:
-    """(table of trials with their ROC-AUC, best model).
+    """(table of trials with their ROC-AUC, model refitted with the best draw).
 
     ``folds`` judges each draw on stratified folds, ``holdout`` on one
     stratified validation part. Draws come from ``SPACES`` unless given.
@@ -299,37 +332,17 @@ def hyperparameter_search(
         }[kind]()
         maps = [_param_map(learner, d, rows) for d in draws]
         stages = encoding_stages(inputs, scale=kind != "tree", expand=kind != "boosted")
-        pipeline = Pipeline(stages=[*stages, learner])
         if how == "folds":
-            scores, best = cross_validate(table, inputs.id_col, pipeline, maps, k, seed=seed, parallelism=parallelism)
+            per_fold = cross_validate(table, inputs.id_col, stages, learner, maps, k, seed=seed, parallelism=parallelism)
+            scores = [sum(s) / k for s in zip(*per_fold)]
         else:
-            scores, best = _holdout_search(table, inputs.id_col, stages, learner, maps, seed, parallelism)
+            scores = validate(table, inputs.id_col, stages, learner, maps, seed=seed, parallelism=parallelism)
+        best = maps[max(range(len(maps)), key=lambda i: scores[i])]
+        model = Pipeline(stages=[*stages, learner.copy(best)]).fit(table)
     finally:
         table.unpersist()
     trials = [(i, str(sorted(d.items())), float(s)) for i, (d, s) in enumerate(zip(draws, scores))]
-    spark = df.sparkSession
-    return spark.createDataFrame(trials, "trial int, params string, roc_auc double"), best
-
-
-def _holdout_search(table, id_col, stages, learner, maps, seed, parallelism):
-    parts = stratified_split(table, id_col, LABEL, {"train": 0.75, "validation": 0.25}, seed)
-    train, held = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "validation")
-    encoder = Pipeline(stages=stages).fit(train)
-    train, held = encoder.transform(train).persist(), encoder.transform(held).persist()
-    judge = evaluator()
-
-    def run(params):
-        model = learner.copy(params).fit(train)
-        return judge.evaluate(model.transform(held)), model
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            results = pool.map(run, maps)
-    finally:
-        train.unpersist()
-        held.unpersist()
-    best = max(results, key=lambda r: r[0])[1]
-    return [r[0] for r in results], PipelineModel(stages=[*encoder.stages, best])
+    return df.sparkSession.createDataFrame(trials, "trial int, params string, roc_auc double"), model
 
 
 # ---- ensembles ---------------------------------------------------------------
@@ -357,6 +370,12 @@ def _with_scores(models: dict[str, object], table: DataFrame, keep: list[str]) -
     return table.select(*keep, *models)
 
 
+def _fit_all(bases: dict[str, object], train: DataFrame) -> dict[str, object]:
+    with ThreadPool(len(bases)) as pool:
+        fitted = pool.map(lambda base: base.fit(train), bases.values())
+    return dict(zip(bases, fitted))
+
+
 def default_bases() -> dict[str, object]:
     return {"base_rf": forest(), "base_boosted": boosted()}
 
@@ -378,7 +397,7 @@ def blend(
     encoder = Pipeline(stages=encoding_stages(inputs)).fit(train)
     encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES).persist()
     train = encoded.filter(F.col("split") == "train")
-    models = {name: base.fit(train) for name, base in bases.items()}
+    models = _fit_all(bases, train)
     names, keep = list(models), [inputs.id_col, LABEL]
     held = _with_scores(models, encoded.filter(F.col("split") == "validation"), keep)
     final = _fit_meta(held, names, meta["C"], meta["maxIter"])
@@ -406,7 +425,7 @@ def stack_oof(
 
     def out_of_fold(i: int) -> DataFrame:
         rest, part = train.filter(F.col("fold") != i), train.filter(F.col("fold") == i)
-        return _with_scores({n: b.fit(rest) for n, b in bases.items()}, part, keep)
+        return _with_scores(_fit_all(bases, rest), part, keep)
 
     with ThreadPool(min(k, 4)) as pool:
         scored = pool.map(out_of_fold, range(k))
@@ -414,7 +433,7 @@ def stack_oof(
     for part in scored[1:]:
         oof = oof.unionByName(part)
     final = _fit_meta(oof, names, meta["C"], meta["maxIter"])
-    models = {name: base.fit(train) for name, base in bases.items()}
+    models = _fit_all(bases, train)
     train.unpersist()
     held = _with_scores(models, encoded.filter(F.col("split") == "validation"), keep)
     out = _apply_meta(final, held, names, "stacking")

@@ -90,7 +90,9 @@ def stratified_split(
         total += ratios[name]
         shares.append(round(total, 12))
     indexed = _share_index(df, id_col, label, shares, seed)
-    split = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_index") + 1)
+    split = F.when(F.col("_index") == 0, names[0])
+    for i, name in enumerate(names[1:], 1):
+        split = split.when(F.col("_index") == i, name)
     return indexed.withColumn("split", split).drop("_index")
 
 

@@ -10,6 +10,7 @@ from ..operators import relational as rel
 from ..operators import stats
 from ..operators.cleaning import fill_nulls
 from ..operators.quality import filled_columns
+from ..sources.tables import materialized
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def significant_features(df: DataFrame, preset: Preset, iterations: int = 1000,
 
     Missing numbers are filled in the feature only, never in the target.
     """
-    labelled = df.filter(F.col("target").isNotNull())
+    labelled = materialized(df.filter(F.col("target").isNotNull()), "labelled")
     numeric, categorical = filled_columns(labelled, preset.filled, preset.ignore)
     votes = []
     if numeric:

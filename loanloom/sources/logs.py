@@ -41,13 +41,12 @@ def printed_field(text: str | Column, key: str, dtype: str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     if dtype != "string":
         return F.regexp_extract(text, rf"\b{key}=([^,)]+)", 1).try_cast(dtype)
-    single = rf"\b{key}='((?:[^'\\]|\\.)*)'"
-    double = rf'\b{key}="((?:[^"\\]|\\.)*)"'
-    raw = F.coalesce(
-        F.when(text.rlike(single), F.regexp_extract(text, single, 1)),
-        F.when(text.rlike(double), F.regexp_extract(text, double, 1)),
+    quoted = rf"""\b{key}=('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+    raw = F.regexp_extract(text, quoted, 1)
+    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    return F.when(raw == "", None).when(F.instr(inner, "\\") == 0, inner).otherwise(
+        F.regexp_replace(inner, r"\\(.)", "$1")
     )
-    return F.regexp_replace(raw, r"\\(.)", "$1")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +57,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_log(lines: DataFrame) -> DataFrame:
     """``(type, data, _corrupt)``; unreadable lines keep their text in ``_corrupt``."""
     parsed = F.from_json("value", LINE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.select(parsed.alias("line")).select("line.*")
+    # as a generated row the parsed line cannot be copied into every filter
+    # above it, so each line is parsed once
+    return lines.select(F.explode(F.array(parsed)).alias("line")).select("line.*")
 
 
 def log_scan_route(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -75,7 +75,12 @@ def sink_table_replace(df: DataFrame, name: str, path: str | None = None) -> Dat
     return df.sparkSession.table(name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several later jobs read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table that several later jobs read, and read it back.
+
+    It lies in the shared folder, so losing an executor loses nothing, and the
+    later jobs still read only the columns they need.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
