@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bureau, relational as rel
-from ..plans.features import feature_sets
+from ..plans.features import features_train_test
 from ..plans.standin import Views
 from .registry import query, rounded
 
@@ -212,7 +212,7 @@ def overdue_top7(v: Views) -> DataFrame:
     FROM app LEFT JOIN b USING (sk_id_curr) LEFT JOIN p USING (sk_id_curr) LEFT JOIN i USING (sk_id_curr)
     LEFT JOIN k USING (sk_id_curr)""")
 def assemble_features(v: Views) -> DataFrame:
-    whole = rel.assemble_features(v.app, feature_sets(v.app, v.bur, v.bur_bal, v.cc, v.prev, v.inst), "sk_id_curr")
+    whole = features_train_test(v.app, v.bur, v.bur_bal, v.cc, v.prev, v.inst)
     return rounded(whole.select(
         "sk_id_curr", "target", "age_years", "num_documents", "max_overdue_amt", "Microloan", "avg_inq_freq",
         "cnt_late_payments", "early_payments", "amt_balance_max", "cnt_drawings_mean"))

@@ -107,12 +107,8 @@ def log_scan_route(v: Views) -> DataFrame:
         .otherwise(F.lit('{"type": "other", "data": {}}')).alias("value")
     )
     credit_lines(v.bur).unionByName(balance_lines(v.pos)).unionByName(broken).write.text(path)
-    routes = logs.log_scan_route(logs.read_log(v.spark, path))
-    counts = [
-        part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("route"), "n")
-        for name, part in zip(("bureau", "pos_cash", "rejected"), routes)
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    routed = logs.log_scan_route(logs.read_log(v.spark, path))
+    return routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("log_bureau_flatten", """
@@ -123,7 +119,7 @@ def log_scan_route(v: Views) -> DataFrame:
            CAST(0 AS DOUBLE) AS amt_credit_sum_limit, amt_credit_sum_overdue, CAST(NULL AS DOUBLE) AS amt_annuity
     FROM bur""")
 def log_bureau_flatten(v: Views) -> DataFrame:
-    return logs.log_bureau_flatten(credit_lines(v.bur))
+    return logs.log_bureau_flatten(logs.log_scan_route(credit_lines(v.bur)))
 
 
 @query("log_poscash_explode", """
@@ -131,7 +127,7 @@ def log_bureau_flatten(v: Views) -> DataFrame:
            sk_id_curr, name_contract_status, sk_dpd, sk_dpd_def
     FROM pos, (VALUES (0), (1)) AS s(shift)""")
 def log_poscash_explode(v: Views) -> DataFrame:
-    return logs.log_poscash_explode(balance_lines(v.pos))
+    return logs.log_poscash_explode(logs.log_scan_route(balance_lines(v.pos)))
 
 
 @query("log_export", """

@@ -21,14 +21,14 @@ def group_mean_gap(
     return joined.withColumn(name, col(column) - F.col("_mean")).drop("_mean")
 
 
-def client_features(
-    df: DataFrame, key: str = "sk_id_curr", weights: dict[str, float] = fx.SOURCE_WEIGHTS, building_nulls: int = 30
+def with_client_features(
+    df: DataFrame, weights: dict[str, float] = fx.SOURCE_WEIGHTS, building_nulls: int = 30
 ) -> DataFrame:
-    """Documents, building, ages, burdens, source score and income gap in one projection."""
+    """Add documents, building, ages, burdens, source score and income gap in one projection."""
     gap = group_mean_gap(df, ["code_gender", "name_education_type"], "amt_income_total", col("target").isNotNull())
     age = fx.id_change_age()
     return gap.select(
-        key,
+        *[col(c) for c in df.columns],
         fx.num_documents(df).alias("num_documents"),
         fx.building_info(df, n=building_nulls).alias("building_info"),
         fx.full_years("days_birth").alias("age_years"),
@@ -39,3 +39,9 @@ def client_features(
         fx.source_presence_score(weights).alias("weighted_ext_scores"),
         "composite_metric",
     )
+
+
+def client_features(df: DataFrame, key: str = "sk_id_curr", **options) -> DataFrame:
+    """The added features alone, one row per client."""
+    out = with_client_features(df, **options)
+    return out.select(key, *[c for c in out.columns if c not in df.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.core import col
 from .cleaning import MISSING_NUMBER, MISSING_TEXT
 from .lookup import GROUP_ROWS, LOOKUP_ROWS
-from .ordered import running_totals, slice_cuts
+from .ordered import running_totals
 from .sampling import stratified_folds, stratified_split
 
 FEATURES, WEIGHT, LABEL = "features", "class_weight", "label"
@@ -174,8 +174,9 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     counted = source.groupBy("_one", "score").agg(
         F.count(F.when(F.col("_label") == 0, 1)).alias("n0"), F.count(F.when(F.col("_label") == 1, 1)).alias("n1")
     )
-    cuts = slice_cuts(source, ["_one"], "score") if source.count() > GROUP_ROWS else None
-    return running_totals(counted, ["_one"], "score", ["n0", "n1"], cuts)
+    rows = source.count()
+    large = source if rows > GROUP_ROWS else None
+    return running_totals(counted, ["_one"], "score", ["n0", "n1"], large, rows)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -13,38 +13,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.core import col
 from .lookup import GROUP_ROWS, small_or_lazy, split_by_size
 
-COARSE, FINE = 16, 16  # a group above the limit is cut into 256 slices
-SLICES = COARSE * FINE
-ACCURACY = 4 * SLICES
+SLICE_ROWS = 500_000  # rows a slice should hold
+MAX_SLICES = 1 << 13
+CUT_CELLS = 1 << 21  # most cut points that may be broadcast (16 MB)
 
 
-def slice_cuts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Approximate quantiles of ``value`` per group, in two levels for a short search."""
-    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(col(value).cast("double"), shares, F.lit(ACCURACY)).alias("_cuts")
+def slice_count(rows: int) -> int:
+    """Slices for a group of that many rows, a power of two."""
+    wanted = max(2, rows // SLICE_ROWS + 1)
+    return min(MAX_SLICES, 1 << (wanted - 1).bit_length())
+
+
+def slice_cuts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
+    """Approximate quantiles of ``value`` per group: ``slices - 1`` sorted cut points."""
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    return df.groupBy(*keys).agg(
+        F.percentile_approx(col(value).cast("double"), shares, F.lit(2 * slices)).alias("_cuts")
     )
-    coarse = F.array(*[F.col("_cuts")[i * FINE - 1] for i in range(1, COARSE)])
-    return cuts.select(*keys, "_cuts", coarse.alias("_coarse"))
 
 
-def _slice_of(value: str) -> Column:
-    v = col(value).cast("double")
-    block = F.size(F.filter("_coarse", lambda c: c < v))
-    inside = F.size(F.filter(F.slice("_cuts", block * FINE + 1, FINE), lambda c: c < v))
-    return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block * FINE + inside)
+def _with_slice(counted: DataFrame, keys: list[str], value: str, cuts: DataFrame, slices: int) -> DataFrame:
+    """Add ``_slice``: how many cut points of its group lie below the value (binary search)."""
+    cuts, small = small_or_lazy(cuts, CUT_CELLS // slices)
+    out = counted.join(F.broadcast(cuts) if small else cuts, keys, "left").withColumn("_slice", F.lit(0))
+    half = slices // 2
+    while half:
+        below = F.get("_cuts", F.col("_slice") + (half - 1)) < col(value).cast("double")
+        out = out.withColumn("_slice", F.when(below, F.col("_slice") + half).otherwise(F.col("_slice")))
+        half //= 2
+    return out.drop("_cuts")
 
 
 def running_totals(
-    counted: DataFrame, keys: list[str], value: str, sums: list[str], cuts: DataFrame | None = None
+    counted: DataFrame, keys: list[str], value: str, sums: list[str], source: DataFrame | None = None, rows: int = 0
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_all`` (sum over the group).
 
-    ``counted`` has one row per (keys, value). Without ``cuts`` each group is
+    ``counted`` has one row per (keys, value). Without ``source`` each group is
     sorted in one task, which callers allow only for groups of a checked size.
+    With it, the uncounted rows and their number, groups are sorted in slices.
     """
     before_all = (Window.unboundedPreceding, -1)
-    if cuts is None:
+    if source is None:
         group = Window.partitionBy(*keys)
         earlier = group.orderBy(value).rowsBetween(*before_all)
         return counted.select(
@@ -52,16 +62,12 @@ def running_totals(
             *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums],
             *[F.sum(s).over(group).alias(f"{s}_all") for s in sums],
         )
-    cuts, small = small_or_lazy(cuts)
-    sliced = (
-        counted.join(F.broadcast(cuts) if small else cuts, keys, "left")
-        .withColumn("_slice", _slice_of(value))
-        .drop("_cuts", "_coarse")
-    )
+    slices = slice_count(rows)
+    sliced = _with_slice(counted, keys, value, slice_cuts(source, keys, value, slices), slices)
     part = [*keys, "_slice"]
     group = Window.partitionBy(*keys)
     lower = group.orderBy("_slice").rowsBetween(*before_all)
-    # at most SLICES rows per group reach this window
+    # at most one row per slice reach this window
     offsets = (
         sliced.groupBy(*part)
         .agg(*[F.sum(s).alias(f"_{s}") for s in sums])
@@ -88,11 +94,11 @@ def to_long(df: DataFrame, keys: list[str], columns: list[str], name: str, value
     return cells.unpivot(keys, columns, name, value).filter(F.col(value).isNotNull())
 
 
-def _sliced_quantiles(df, keys, columns, probs) -> DataFrame:
+def _sliced_quantiles(df, keys, columns, probs, rows: int) -> DataFrame:
     group = [*keys, "_column"]
     long = to_long(df, keys, columns, "_column", "_value")
     counted = long.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, group, "_value", ["n"], slice_cuts(long, group, "_value"))
+    ranked = running_totals(counted, group, "_value", ["n"], long, rows)
 
     def at(rank: Column) -> Column:
         hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
@@ -126,14 +132,15 @@ def exact_quantiles(
     shares = F.array(*[F.lit(float(p)) for p in probs])
     builtin = [F.percentile(col(c).cast("double"), shares).alias(c) for c in columns]
     if not keys:
-        if df.count() <= limit:
+        rows = df.count()
+        if rows <= limit:
             return df.agg(*builtin)
         one = df.withColumn("_one", F.lit(1))
-        return _sliced_quantiles(one, ["_one"], columns, probs).drop("_one")
+        return _sliced_quantiles(one, ["_one"], columns, probs, rows).drop("_one")
     small, large = split_by_size(df, keys, limit)
     out = small.groupBy(*keys).agg(*builtin)
     if large is not None:
-        out = out.unionByName(_sliced_quantiles(large, keys, columns, probs))
+        out = out.unionByName(_sliced_quantiles(large, keys, columns, probs, df.count()))
     return out
 
 
@@ -145,7 +152,7 @@ def average_ranks(
     source = df.filter(col(value).isNotNull()).withColumn("_one", F.lit(1))
     counted = source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     # the row count bounds the number of distinct values in any group
-    cuts = slice_cuts(source, group, value) if source.count() > limit else None
-    ranked = running_totals(counted, group, value, ["n"], cuts)
+    rows = source.count()
+    ranked = running_totals(counted, group, value, ["n"], source if rows > limit else None, rows)
     rank = (F.col("n_before") + (F.col("n") + 1) / 2).alias("avg_rank")
     return ranked.select(*keys, value, "n", rank)

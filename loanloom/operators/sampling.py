@@ -10,7 +10,7 @@ from ..functions.core import col, hash_word
 from .lookup import attach_lookup
 
 WORD = 1 << 32
-BINS = 1 << 14
+BINS = 1 << 18
 # Cumulative Poisson(1) probabilities, the thresholds of a weight.
 POISSON_CDF = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,

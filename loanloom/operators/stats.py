@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import special
 from ..functions.core import col
 from .lookup import GROUP_ROWS, attach_lookup
-from .ordered import average_ranks, exact_quantiles, running_totals, slice_cuts, to_long
+from .ordered import average_ranks, exact_quantiles, running_totals, to_long
 from .sampling import bootstrap_means
 
 ALPHA = 0.05
@@ -52,22 +52,21 @@ def t_test(df: DataFrame, features: list[str], target: str = "target") -> DataFr
     )
 
 
-def value_counts(df: DataFrame, features: list[str], target: str = "target") -> tuple[DataFrame, DataFrame | None]:
-    """Per (feature, value) the rows of target 0 and 1, and cuts where a feature is large."""
+def _ranked_counts(df: DataFrame, features: list[str], target: str = "target") -> DataFrame:
+    """Per (feature, value) the rows of target 0 and 1 with running totals."""
     long = _labelled(df, features, target).filter(F.col("target").isin(0, 1))
     counted = long.groupBy("feature", "value").agg(
         F.count(F.when(F.col("target") == 0, 1)).alias("n0"),
         F.count(F.when(F.col("target") == 1, 1)).alias("n1"),
     ).withColumn("n", F.col("n0") + F.col("n1"))
     # the table's row count bounds the distinct values of every feature
-    large = df.count() > GROUP_ROWS
-    return counted, slice_cuts(long, ["feature"], "value") if large else None
+    rows = df.count()
+    return running_totals(counted, ["feature"], "value", ["n"], long if rows > GROUP_ROWS else None, rows)
 
 
 def mann_whitney(df: DataFrame, features: list[str], target: str = "target") -> DataFrame:
     """Two-sided rank-sum test of target 0 against 1 with tie and continuity correction."""
-    counted, cuts = value_counts(df, features, target)
-    ranked = running_totals(counted, ["feature"], "value", ["n"], cuts)
+    ranked = _ranked_counts(df, features, target)
     n = F.col("n").cast("double")
     rank = F.col("n_before") + (n + 1) / 2
     sums = ranked.groupBy("feature").agg(
@@ -105,8 +104,9 @@ def anderson_darling(
     moments = long.groupBy(*group).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("rows")
     )
-    cuts = slice_cuts(long, group, "value") if df.count() > GROUP_ROWS else None
-    ranked = attach_lookup(running_totals(counted, group, "value", ["n"], cuts), moments, group)
+    rows = df.count()
+    totals = running_totals(counted, group, "value", ["n"], long if rows > GROUP_ROWS else None, rows)
+    ranked = attach_lookup(totals, moments, group)
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("sd"))
     low = F.col("n_before").cast("double")
     high = low + F.col("n")

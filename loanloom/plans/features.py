@@ -13,24 +13,23 @@ from ..operators.cleaning import MISSING_NUMBER, MISSING_TEXT, fill_nulls, repla
 MAX_INCOME, MAX_CHILDREN, MAX_CHILDREN_BASELINE = 500_000, 15, 10
 
 
-def feature_sets(
-    app: DataFrame, bur: DataFrame, bur_bal: DataFrame, cc: DataFrame, prev: DataFrame, inst: DataFrame,
-    weights: dict[str, float] = SOURCE_WEIGHTS,
-) -> list[DataFrame]:
-    """Five feature sets, one row per client each."""
-    card_sets = cards.card_features(cc)
+def history_features(bur: DataFrame, bur_bal: DataFrame, cc: DataFrame, prev: DataFrame, inst: DataFrame) -> list[DataFrame]:
+    """Four feature sets of a client's history, one row per client each."""
     return [
-        clients.client_features(app, weights=weights),
         applications.payment_features(inst, fill=True),
         bureau.credit_features(bur, bur_bal),
         applications.previous_features(prev, fill=True),
-        cards.card_features_by_client(card_sets, prev),
+        cards.card_features_by_client(cards.card_features(cc), prev),
     ]
 
 
-def features_train_test(app, bur, bur_bal, cc, prev, inst) -> DataFrame:
-    """Every client with all features."""
-    return rel.assemble_features(app, feature_sets(app, bur, bur_bal, cc, prev, inst), "sk_id_curr")
+def features_train_test(
+    app: DataFrame, bur: DataFrame, bur_bal: DataFrame, cc: DataFrame, prev: DataFrame, inst: DataFrame,
+    weights: dict[str, float] = SOURCE_WEIGHTS,
+) -> DataFrame:
+    """Every client with all features; the client's own are columns, not a join."""
+    base = clients.with_client_features(app, weights)
+    return rel.assemble_features(base, history_features(bur, bur_bal, cc, prev, inst), "sk_id_curr")
 
 
 def _half(df: DataFrame, numeric: list[str]) -> DataFrame:

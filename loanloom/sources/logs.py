@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .tables import materialized
+
 BUREAU, POSCASH = "bureau", "POS_CASH_balance"
 # Field names and types of the log records, in output order.
 RECORD_FIELDS = {
@@ -62,32 +64,30 @@ def parse_log(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(F.array(parsed)).alias("line")).select("line.*")
 
 
-def log_scan_route(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(credit lines, cash balance lines, unreadable or unknown lines)."""
-    parsed = parse_log(lines)
-    fine = F.col("_corrupt").isNull()
-    kind = F.coalesce("type", F.lit(""))
-    return (
-        parsed.filter(fine & (kind == BUREAU)),
-        parsed.filter(fine & (kind == POSCASH)),
-        parsed.filter(~fine | ~kind.isin(BUREAU, POSCASH)),
-    )
+def log_scan_route(lines: DataFrame) -> DataFrame:
+    """Parsed lines with their ``route``: ``bureau``, ``pos_cash`` or ``rejected``.
+
+    Unreadable lines and lines of another type are rejected; one scan serves
+    every route.
+    """
+    fine, kind = F.col("_corrupt").isNull(), F.col("type")
+    route = F.when(fine & (kind == BUREAU), "bureau").when(fine & (kind == POSCASH), "pos_cash").otherwise("rejected")
+    return parse_log(lines).withColumn("route", route)
 
 
-def log_bureau_flatten(lines: DataFrame) -> DataFrame:
+def log_bureau_flatten(routed: DataFrame) -> DataFrame:
     """Credits, 17 columns with lower-case names."""
-    credits, _, _ = log_scan_route(lines)
     record, amounts = "data.record", F.col("data.record.AmtCredit")
-    return credits.select(
+    return routed.filter(F.col("route") == "bureau").select(
         *[F.col(f"{record}.{k}").alias(k.lower()) for k in RECORD_FIELDS],
         F.col("data.CREDIT_TYPE").alias("credit_type"),
         *[printed_field(amounts, k, t).alias(k.lower()) for k, t in AMOUNT_FIELDS.items()],
     )
 
 
-def log_poscash_explode(lines: DataFrame) -> DataFrame:
+def log_poscash_explode(routed: DataFrame) -> DataFrame:
     """Cash balances, one row per record of a line, 8 columns with lower-case names."""
-    _, balances, _ = log_scan_route(lines)
+    balances = routed.filter(F.col("route") == "pos_cash")
     rows = balances.select(F.col("data.CNT_INSTALMENT").alias("cnt_instalment"), F.explode("data.records").alias("r"))
     ids = F.col("r.PosCashBalanceIDs")
     return rows.select(
@@ -101,6 +101,7 @@ def log_poscash_explode(lines: DataFrame) -> DataFrame:
 
 
 def log_export(lines: DataFrame, bureau_path: str, poscash_path: str) -> None:
-    """Write both tables as CSV with upper-case headers."""
-    for table, path in ((log_bureau_flatten(lines), bureau_path), (log_poscash_explode(lines), poscash_path)):
+    """Write both tables as CSV with upper-case headers; the text is parsed once."""
+    routed = materialized(log_scan_route(lines), "log")
+    for table, path in ((log_bureau_flatten(routed), bureau_path), (log_poscash_explode(routed), poscash_path)):
         table.toDF(*[c.upper() for c in table.columns]).write.mode("overwrite").option("header", True).csv(path)
