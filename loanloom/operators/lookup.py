@@ -26,6 +26,13 @@ def attach_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "l
     return df.join(F.broadcast(lookup) if small else lookup, on, how)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Even out the rows of a frame over all tasks, for work that is heavy per row."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *columns)
+
+
 def split_by_size(
     df: DataFrame, keys: list[str], limit: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:

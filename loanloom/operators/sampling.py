@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import col, hash_word
-from .lookup import attach_lookup
+from .lookup import attach_lookup, spread
 
 WORD = 1 << 32
 BINS = 1 << 18
@@ -55,10 +55,12 @@ def _cut_points(df: DataFrame, id_col: str, label: str, shares: list[float], see
         .drop("_n")
     )
     inside = attach_lookup(hashed, cut_bins, ["_label", "_bin"], "inner")
-    order = Window.partitionBy("_label", "_cut").orderBy("_hash", "_id")
+    # rows of one id count together, so a frequent id stays one row here
+    ids = inside.groupBy("_label", "_cut", "_rank", "_hash", "_id").agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy("_label", "_cut").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        inside.withColumn("_place", F.row_number().over(order))
-        .filter(F.col("_place") == F.col("_rank"))
+        ids.withColumn("_last", F.sum("_m").over(order))
+        .filter((F.col("_last") >= F.col("_rank")) & (F.col("_last") - F.col("_m") < F.col("_rank")))
         .groupBy("_label")
         .pivot("_cut", list(range(len(shares))))
         .agg(F.first(F.struct("_hash", "_id")))
@@ -165,10 +167,9 @@ def bootstrap_sums(
         col(group).cast("string").alias("_grp"),
         *[col(c).cast("double").alias(c) for c in columns],
     )
-    # the work is rows x iterations: a small file must not stay one task
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() < cores:
-        source = source.repartition(cores)
+    # the work is rows x iterations, far more than moving these narrow rows, so
+    # they are spread evenly first
+    source = spread(source, "_a")
     block = 50
     held_cells = 10_000_000
 

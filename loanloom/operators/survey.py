@@ -53,11 +53,16 @@ def daily_count_mean(df: DataFrame, date: str = "date", key: str = "status", val
     parts = df.filter(col(date).isNotNull()).groupBy(date, key).agg(
         F.count(col(value)).alias("n"), F.sum(col(value)).alias("_sum")
     )
-    per_key = parts.filter(col(key).isNotNull())
-    whole = parts.groupBy(date).agg(F.sum("n").alias("n"), F.sum("_sum").alias("_sum"))
-    whole = whole.withColumn(key, F.lit(None).cast("string"))
-    both = per_key.unionByName(whole)
-    return both.select(date, key, "n", F.try_divide("_sum", "n").alias("mean_value"))
+    # every per-status row counts once for its status and once for the day
+    rows = F.array(
+        F.struct(col(key).alias(key), F.lit(False).alias("_day")),
+        F.struct(F.lit(None).cast("string").alias(key), F.lit(True).alias("_day")),
+    )
+    both = parts.select(date, "n", "_sum", F.explode(rows).alias("_r")).select(date, "n", "_sum", "_r.*")
+    sums = both.filter(F.col("_day") | col(key).isNotNull()).groupBy(date, key, "_day").agg(
+        F.sum("n").alias("n"), F.sum("_sum").alias("_sum")
+    )
+    return sums.select(date, key, "n", F.try_divide("_sum", "n").alias("mean_value"))
 
 
 def weekday_counts(df: DataFrame, date: str = "date", value: str = "income") -> DataFrame:
