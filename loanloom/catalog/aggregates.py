@@ -66,7 +66,7 @@ def closed_clean_count(v: Views) -> DataFrame:
 
 
 @query("active_ratio", """
-    SELECT sk_id_curr, round(count(*) FILTER (WHERE credit_active = 'Active') / CAST(count(*) AS DOUBLE), 2) AS active_ratio
+    SELECT sk_id_curr, CAST(round(CAST(count(*) FILTER (WHERE credit_active = 'Active') / CAST(count(*) AS DOUBLE) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS active_ratio
     FROM bur GROUP BY 1""")
 def active_ratio(v: Views) -> DataFrame:
     return bureau.active_ratio(v.bur)

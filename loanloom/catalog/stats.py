@@ -128,10 +128,11 @@ def ci_verdict(v: Views) -> DataFrame:
     WITH src AS (SELECT row_id, status, income FROM hw WHERE status IS NOT NULL),
     {weights_sql('src', 'row_id', 'status, income', 10_000, 123)},
     m AS (SELECT status, iter, sum(w * income) / sum(CASE WHEN income IS NOT NULL THEN w END) AS mean FROM wt GROUP BY 1, 2)
-    SELECT status, round(quantile_cont(round(mean, 2), 0.025), 2) AS ci_low, round(quantile_cont(round(mean, 2), 0.975), 2) AS ci_high,
-      round(avg(mean), 2) AS boot_mean FROM m GROUP BY 1""")
+    SELECT status, round(quantile_cont(r, 0.025), 4) AS ci_low, round(quantile_cont(r, 0.975), 4) AS ci_high,
+      round(avg(mean), 4) AS boot_mean
+    FROM (SELECT status, mean, CAST(round(CAST(mean AS DECIMAL(18, 9)), 2) AS DOUBLE) AS r FROM m) GROUP BY 1""")
 def bootstrap_ci_by_group(v: Views) -> DataFrame:
-    return rounded(stats.bootstrap_ci_by_group(v.hw, "row_id", "status", "income"), 2)
+    return rounded(stats.bootstrap_ci_by_group(v.hw, "row_id", "status", "income"))
 
 
 @query("bootstrap_model_gap", f"""

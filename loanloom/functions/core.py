@@ -45,6 +45,11 @@ def zero_filled_sum(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+def settled(c: str | Column, digits: int) -> Column:
+    """Rounded, after dropping the last bits that depend on the order of a sum."""
+    return F.round(F.round(col(c), 9), digits)
+
+
 def hash_word(id_col: str | Column, salt: str | int, word: int = 0) -> Column:
     """A 32-bit unsigned number (as bigint) that depends only on the id and salt.
 

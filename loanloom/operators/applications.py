@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import INF, ratio
+from ..functions.core import INF, ratio, settled
 from .bureau import category_values
 
 CLIENT = "sk_id_curr"
@@ -21,11 +21,6 @@ def _known(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _settled(x: Column, digits: int) -> Column:
-    """Rounded, after dropping the last bits that depend on the order of a sum."""
-    return F.round(F.round(x, 9), digits)
-
-
 def previous_expressions(types: list[str]) -> dict[str, Column]:
     approved = _known(F.avg(ratio("amt_credit", "amt_application", "inf")))
     hour = F.col("hour_appr_process_start")
@@ -34,7 +29,7 @@ def previous_expressions(types: list[str]) -> dict[str, Column]:
             f"num_prev_{t.lower()}": F.count(F.when(F.col("name_contract_type") == t, F.col("sk_id_prev")))
             for t in types
         },
-        "avg_pct_approved": F.when(approved == INF, 0.0).otherwise(_settled(approved, 2)),
+        "avg_pct_approved": F.when(approved == INF, 0.0).otherwise(settled(approved, 2)),
         "avg_inq_freq": -F.avg("days_decision").cast("int"),
         **{
             f"cnt_{part}_applications": F.count(F.when(hour.isin(*hours), F.col("sk_id_prev")))
@@ -61,7 +56,7 @@ def payment_expressions() -> dict[str, Column]:
     return {
         "cnt_late_payments": F.count(F.when(delay > 0, F.col("sk_id_prev"))),
         "early_payments": F.count(F.when(delay < 0, F.col("sk_id_prev"))),
-        "avg_pct_instalment_paid": _settled(paid, 3),
+        "avg_pct_instalment_paid": settled(paid, 3),
     }
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
-from ..functions.core import col
+from ..functions.core import col, settled
 from .lookup import GROUP_ROWS, attach_lookup
 from .ordered import average_ranks, exact_quantiles, running_totals, to_long
 from .sampling import bootstrap_means
@@ -233,8 +233,8 @@ def bootstrap_ci_by_group(
     means = bootstrap_means(df, id_col, key, [value], iterations, seed)
     tail = (100 - level) / 200
     return means.groupBy(F.col("grp").alias(key)).agg(
-        F.percentile(F.round("mean", 2), F.lit(tail)).alias("ci_low"),
-        F.percentile(F.round("mean", 2), F.lit(1 - tail)).alias("ci_high"),
+        F.percentile(settled("mean", 2), F.lit(tail)).alias("ci_low"),
+        F.percentile(settled("mean", 2), F.lit(1 - tail)).alias("ci_high"),
         F.avg("mean").alias("boot_mean"),
     )
 
