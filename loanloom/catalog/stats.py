@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import cards, sampling, stats
 from ..operators.sampling import MIXER, POISSON_CDF, WORD
 from ..plans import selection
+from ..plans.features import clean_table, features_train_test
 from ..plans.standin import Views
+from ..sources.tables import materialized
 from .registry import query, rounded
 
 TESTED = ["amt_credit", "amt_income_total", "days_employed", "ext_source_2"]
@@ -169,6 +171,20 @@ def significant_features(v: Views) -> DataFrame:
     return out
 
 
+@query("compose_features")
+def compose_features(v: Views) -> DataFrame:
+    """Assembly of every feature, then the selection over all of them."""
+    whole = features_train_test(v.app, v.bur, v.bur_bal, v.cc, v.prev, v.inst)
+    return selection.compose_features(whole)
+
+
+@query("clean_features")
+def clean_features(v: Views) -> DataFrame:
+    """Assembly, then the whole cleaning with the fraud filter."""
+    whole = features_train_test(v.app, v.bur, v.bur_bal, v.cc, v.prev, v.inst)
+    return clean_table(materialized(whole, "assembled"))
+
+
 LIMITED = ["amt_credit", "amt_annuity", "days_employed", "ext_source_1"]
 _WHOLE = LIMITED[:3]
 _LIMITS = "WITH q AS (SELECT " + ", ".join(

@@ -13,14 +13,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x), float, len(x))
 
 
 def log_normal_cdf(z: np.ndarray) -> np.ndarray:
     """ln of the standard normal distribution function, also far in the left tail."""
     z = np.asarray(z, dtype=float)
     near = np.maximum(z, -25.0)
-    out = np.log(0.5 * _erfc(-near / math.sqrt(2)).astype(float))
+    out = np.log(0.5 * _erfc(-near / math.sqrt(2)))
     far = z < -25.0
     if far.any():
         t = z[far]
@@ -29,7 +31,7 @@ def log_normal_cdf(z: np.ndarray) -> np.ndarray:
     # ln(1 - tail) keeps its digits on the right side
     right = z > 5.0
     if right.any():
-        out[right] = np.log1p(-0.5 * _erfc(z[right] / math.sqrt(2)).astype(float))
+        out[right] = np.log1p(-0.5 * _erfc(z[right] / math.sqrt(2)))
     return out
 
 

@@ -189,9 +189,9 @@ def bootstrap_sums(
                 part = pdf.iloc[start:start + 20_000]
                 for name, rows_of in part.groupby("_grp", sort=False):
                     x = rows_of[columns].to_numpy(dtype=float)
-                    known = ~np.isnan(x)
-                    x = np.where(known, x, 0.0)
-                    known = known.astype(float)
+                    known = (~np.isnan(x)).astype(float)
+                    ends = [(end, (x == end).astype(float)) for end in (np.inf, -np.inf) if (x == end).any()]
+                    x = np.where(np.isfinite(x), x, 0.0)
                     a = rows_of["_a"].to_numpy().astype(np.uint64)
                     b = rows_of["_b"].to_numpy().astype(np.uint64)
                     acc = sums.setdefault(name, np.zeros((iterations, len(columns), 2)))
@@ -200,6 +200,9 @@ def bootstrap_sums(
                         w = poisson_weights(a, b, its)
                         acc[lo:lo + len(its), :, 0] += w @ known
                         acc[lo:lo + len(its), :, 1] += w @ x
+                        # an infinite value counts only where it was drawn
+                        for end, where in ends:
+                            acc[lo:lo + len(its), :, 1] += np.where(w @ where > 0, end, 0.0)
                 if len(sums) * iterations * len(columns) > held_cells:
                     yield from rows(sums)
                     sums = {}

@@ -92,3 +92,11 @@ def source_tables(app, bur, bur_bal, cards, prev, inst, pos) -> dict[str, DataFr
 def kept_columns(selection: DataFrame) -> list[str]:
     rows = selection.filter(F.col("keep") == 1).select("feature").distinct().collect()
     return sorted(r["feature"] for r in rows)
+
+
+def compose_features(whole: DataFrame, preset: Preset = PRESETS["all_features"], iterations: int = 1000) -> DataFrame:
+    """The assembled table reduced to id, target, external sources and the significant features."""
+    table = materialized(whole, "assembled")
+    always = ["sk_id_curr", "target", "ext_source_1", "ext_source_2", "ext_source_3"]
+    kept = set(kept_columns(significant_features(table, preset, iterations)))
+    return table.select(*always, *[F.col(f"`{c}`") for c in table.columns if c in kept])

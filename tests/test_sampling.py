@@ -68,3 +68,11 @@ def test_resample_keeps_size_in_expectation(people):
     again = sampling.resample(people, "id")
     assert abs(again.count() / 3001 - 1) < 0.08
     assert again.groupBy("id").count().filter("count > 1").count() > 500
+
+
+def test_an_infinite_value_counts_only_where_drawn(spark):
+    df = spark.createDataFrame([(i, "g", float("inf") if i == 3 else 1.0) for i in range(20)], "id long, g string, x double")
+    sums = sampling.bootstrap_sums(df, "id", "g", ["x"], 50).toPandas()
+    drawn = df.filter("id = 3").select(*[sampling.poisson_weight_column("id", 123, i).alias(f"w{i}") for i in range(50)]).first()
+    for _, r in sums.iterrows():
+        assert np.isinf(r["swx"]) == (drawn[f"w{r['iter']}"] > 0) and not np.isnan(r["swx"])
