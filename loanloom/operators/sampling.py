@@ -124,20 +124,25 @@ def poisson_weights(first: np.ndarray, second: np.ndarray, iterations: np.ndarra
     return np.searchsorted(cuts, u, side="right").astype(np.float64)
 
 
-def mix_column(x: Column) -> Column:
-    for _ in range(2):
-        x = ((F.shiftright(x, 16)).bitwiseXOR(x) * F.lit(MIXER)) % F.lit(WORD)
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
+def with_poisson_weight(
+    df: DataFrame, id_col: str, seed: int, iteration: int = 0, name: str = "weight"
+) -> DataFrame:
+    """Add the same weight as a column, for a single resample.
 
-def poisson_weight_column(id_col: str, seed: int, iteration: int = 0) -> Column:
-    """The same weight as a column expression, for a single resample."""
-    step = (hash_word(id_col, seed, 1) + iteration) % WORD
-    u = mix_column(hash_word(id_col, seed, 0).bitwiseXOR(mix_column(step)))
+    The mixing goes step by step through one helper column, because each step
+    reads its input twice.
+    """
+    x = F.col("_mixed")
+    folded = F.shiftright(x, 16).bitwiseXOR(x)
+    steps = [folded * F.lit(MIXER) % F.lit(WORD)] * 2 + [folded]
+    out = df.withColumn("_mixed", (hash_word(id_col, seed, 1) + iteration) % WORD)
+    for step in [*steps, hash_word(id_col, seed, 0).bitwiseXOR(x), *steps]:
+        out = out.withColumn("_mixed", step)
     weight = F.lit(0)
     for p in POISSON_CDF:
-        weight = weight + (u >= int(p * WORD)).cast("int")
-    return weight
+        weight = weight + (x >= int(p * WORD)).cast("int")
+    # never null, so no null check on it is copied below the steps above
+    return out.withColumn(name, F.coalesce(weight, F.lit(0))).drop("_mixed")
 
 
 def resample(df: DataFrame, id_col: str, by: str | None = None, seed: int = 123) -> DataFrame:
@@ -147,9 +152,9 @@ def resample(df: DataFrame, id_col: str, by: str | None = None, seed: int = 123)
     per row, so every group keeps its size in expectation.
     """
     source = df if by is None else df.filter(col(by).isNotNull())
-    weight = poisson_weight_column(id_col, seed)
-    copies = F.explode(F.sequence(F.lit(1), weight))
-    return source.filter(weight > 0).withColumn("copy", copies)
+    weighted = with_poisson_weight(source, id_col, seed, name="_weight")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(1, len(POISSON_CDF) + 1)])).alias("copy")
+    return weighted.select("*", copies).filter(F.col("copy") <= F.col("_weight")).drop("_weight")
 
 
 def bootstrap_sums(
