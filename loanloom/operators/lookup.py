@@ -20,9 +20,11 @@ def small_or_lazy(table: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFr
     return table.sparkSession.createDataFrame(rows, table.schema), True
 
 
-def attach_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def attach_lookup(
+    df: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = LOOKUP_ROWS
+) -> DataFrame:
     """Join a derived table: broadcast when its size was checked, else an ordinary join."""
-    lookup, small = small_or_lazy(lookup)
+    lookup, small = small_or_lazy(lookup, max_rows)
     return df.join(F.broadcast(lookup) if small else lookup, on, how)
 
 

@@ -269,15 +269,17 @@ def find_outliers(
     df: DataFrame, columns: list[str], low: float = 0.25, high: float = 0.75, coef: float = 1.5,
     skip_null_columns: bool = True,
 ) -> DataFrame:
-    """Limits per column and how many rows lie outside; two passes over the table.
+    """Limits per column and how many rows lie outside.
 
     A column with any missing value has no limits unless ``skip_null_columns``
     is off.
     """
-    q = exact_quantiles(df, [], columns, [low, high])
-    holes = df.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(c) for c in columns]).first()
-    usable = [c for c in columns if not (skip_null_columns and holes[c])]
-    limits = _limits_row(q, columns, usable, coef)
+    usable = list(columns)
+    if skip_null_columns:
+        # quantiles are the costly part, so only columns that can have limits reach them
+        holes = df.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(c) for c in columns]).first()
+        usable = [c for c in columns if not holes[c]]
+    limits = _limits(exact_quantiles(df, [], usable, [low, high]), usable, coef) if usable else {}
     counts = df.agg(*[
         F.count(F.when((col(c) < lo) | (col(c) > hi), 1)).alias(c) for c, (lo, hi) in limits.items()
     ]).first() if limits else {}
@@ -289,11 +291,11 @@ def find_outliers(
     )
 
 
-def _limits_row(q: DataFrame, columns, usable, coef) -> dict[str, tuple[float, float]]:
-    row = q.first()
+def _limits(quantiles: DataFrame, columns: list[str], coef: float) -> dict[str, tuple[float, float]]:
+    row = quantiles.first()
     limits = {}
     for c in columns:
-        if c in usable and row[c] is not None and row[c][0] is not None:
+        if row[c] is not None and row[c][0] is not None:
             lo, hi = row[c]
             limits[c] = (lo - coef * (hi - lo), hi + coef * (hi - lo))
     return limits
