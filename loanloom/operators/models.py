@@ -176,7 +176,7 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
     rows = source.count()
     large = source if rows > GROUP_ROWS else None
-    return running_totals(counted, ["_one"], "score", ["n0", "n1"], large, rows)
+    return running_totals(counted, ["_one"], "score", ["n0", "n1"], large, rows, GROUP_ROWS)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -24,17 +24,21 @@ def slice_count(rows: int) -> int:
     return min(MAX_SLICES, 1 << (wanted - 1).bit_length())
 
 
-def slice_cuts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    """Approximate quantiles of ``value`` per group: ``slices - 1`` sorted cut points."""
+def slice_cuts(df: DataFrame, keys: list[str], value: str, slices: int, limit: int) -> DataFrame:
+    """``slices - 1`` approximate quantiles of ``value`` for every group of more than ``limit`` rows."""
     # one text literal instead of thousands of number literals in the plan
     shares = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
     return df.groupBy(*keys).agg(
-        F.percentile_approx(col(value).cast("double"), shares, F.lit(2 * slices)).alias("_cuts")
-    )
+        F.percentile_approx(col(value).cast("double"), shares, F.lit(2 * slices)).alias("_cuts"),
+        F.count(F.lit(1)).alias("_rows"),
+    ).filter(F.col("_rows") > limit).drop("_rows")
 
 
 def _with_slice(counted: DataFrame, keys: list[str], value: str, cuts: DataFrame, slices: int) -> DataFrame:
-    """Add ``_slice``: how many cut points of its group lie below the value (binary search)."""
+    """Add ``_slice``: how many cut points of its group lie below the value (binary search).
+
+    Groups without cut points stay one slice.
+    """
     cuts, small = small_or_lazy(cuts, CUT_CELLS // slices)
     out = counted.join(F.broadcast(cuts) if small else cuts, keys, "left").withColumn("_slice", F.lit(0))
     half = slices // 2
@@ -46,13 +50,15 @@ def _with_slice(counted: DataFrame, keys: list[str], value: str, cuts: DataFrame
 
 
 def running_totals(
-    counted: DataFrame, keys: list[str], value: str, sums: list[str], source: DataFrame | None = None, rows: int = 0
+    counted: DataFrame, keys: list[str], value: str, sums: list[str], source: DataFrame | None = None, rows: int = 0,
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_all`` (sum over the group).
 
     ``counted`` has one row per (keys, value). Without ``source`` each group is
     sorted in one task, which callers allow only for groups of a checked size.
-    With it, the uncounted rows and their number, groups are sorted in slices.
+    With it, the uncounted rows and their number, groups of more than ``limit``
+    rows are sorted in slices.
     """
     before_all = (Window.unboundedPreceding, -1)
     if source is None:
@@ -64,7 +70,7 @@ def running_totals(
             *[F.sum(s).over(group).alias(f"{s}_all") for s in sums],
         )
     slices = slice_count(rows)
-    sliced = _with_slice(counted, keys, value, slice_cuts(source, keys, value, slices), slices)
+    sliced = _with_slice(counted, keys, value, slice_cuts(source, keys, value, slices, limit), slices)
     part = [*keys, "_slice"]
     group = Window.partitionBy(*keys)
     lower = group.orderBy("_slice").rowsBetween(*before_all)
@@ -95,11 +101,11 @@ def to_long(df: DataFrame, keys: list[str], columns: list[str], name: str, value
     return cells.unpivot(keys, columns, name, value).filter(F.col(value).isNotNull())
 
 
-def _sliced_quantiles(df, keys, columns, probs, rows: int) -> DataFrame:
+def _sliced_quantiles(df, keys, columns, probs, rows: int, limit: int) -> DataFrame:
     group = [*keys, "_column"]
     long = to_long(df, keys, columns, "_column", "_value")
     counted = long.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, group, "_value", ["n"], long, rows)
+    ranked = running_totals(counted, group, "_value", ["n"], long, rows, limit)
 
     def at(rank: Column) -> Column:
         hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
@@ -137,11 +143,11 @@ def exact_quantiles(
         if rows <= limit:
             return df.agg(*builtin)
         one = df.withColumn("_one", F.lit(1))
-        return _sliced_quantiles(one, ["_one"], columns, probs, rows).drop("_one")
+        return _sliced_quantiles(one, ["_one"], columns, probs, rows, limit).drop("_one")
     small, large = split_by_size(df, keys, limit)
     out = small.groupBy(*keys).agg(*builtin)
     if large is not None:
-        out = out.unionByName(_sliced_quantiles(large, keys, columns, probs, df.count()))
+        out = out.unionByName(_sliced_quantiles(large, keys, columns, probs, df.count(), limit))
     return out
 
 
@@ -154,6 +160,6 @@ def average_ranks(
     counted = source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     # the row count bounds the number of distinct values in any group
     rows = source.count()
-    ranked = running_totals(counted, group, value, ["n"], source if rows > limit else None, rows)
+    ranked = running_totals(counted, group, value, ["n"], source if rows > limit else None, rows, limit)
     rank = (F.col("n_before") + (F.col("n") + 1) / 2).alias("avg_rank")
     return ranked.select(*keys, value, "n", rank)

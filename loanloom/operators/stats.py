@@ -61,7 +61,7 @@ def _ranked_counts(df: DataFrame, features: list[str], target: str = "target") -
     ).withColumn("n", F.col("n0") + F.col("n1"))
     # the table's row count bounds the distinct values of every feature
     rows = df.count()
-    return running_totals(counted, ["feature"], "value", ["n"], long if rows > GROUP_ROWS else None, rows)
+    return running_totals(counted, ["feature"], "value", ["n"], long if rows > GROUP_ROWS else None, rows, GROUP_ROWS)
 
 
 def mann_whitney(df: DataFrame, features: list[str], target: str = "target") -> DataFrame:
@@ -105,7 +105,7 @@ def anderson_darling(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("rows")
     )
     rows = df.count()
-    totals = running_totals(counted, group, "value", ["n"], long if rows > GROUP_ROWS else None, rows)
+    totals = running_totals(counted, group, "value", ["n"], long if rows > GROUP_ROWS else None, rows, GROUP_ROWS)
     ranked = attach_lookup(totals, moments, group)
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("sd"))
     low = F.col("n_before").cast("double")

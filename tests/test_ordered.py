@@ -42,6 +42,10 @@ def test_global_quantiles(skewed, monkeypatch, limit):
 @pytest.mark.parametrize("limit", [1_000_000, 10])
 def test_average_ranks(skewed, monkeypatch, limit):
     monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    by_key = ordered.average_ranks(skewed, "x", ["k"], 500).toPandas().set_index(["k", "x"])["avg_rank"]
+    pdf = skewed.toPandas().dropna(subset=["x"])
+    for (k, x), rank in by_key.items():
+        assert rank == pdf[(pdf["k"] == k) & (pdf["x"] < x)].shape[0] + (pdf[(pdf["k"] == k) & (pdf["x"] == x)].shape[0] + 1) / 2
     got = {r["x"]: (r["n"], r["avg_rank"]) for r in ordered.average_ranks(skewed, "x", (), limit).collect()}
     x = skewed.toPandas()["x"].dropna()
     ranks = x.rank()
@@ -54,7 +58,7 @@ def test_average_ranks(skewed, monkeypatch, limit):
 def test_slices_split_a_large_group(skewed):
     source = skewed.filter("k = 'hot' AND x IS NOT NULL")
     counted = source.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    cuts = ordered.slice_cuts(source, ["k"], "x", 16)
+    cuts = ordered.slice_cuts(source, ["k"], "x", 16, 100)
     sizes = [r["count"] for r in ordered._with_slice(counted, ["k"], "x", cuts, 16).groupBy("_slice").count().collect()]
     assert len(sizes) > 8 and max(sizes) < counted.count() / 4
 
