@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import secrets, shards, warc
+from . import partenum, secrets, shards, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_histogram_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded_documents(scan_table(spark, "documents", sf_dir))
+
+
+@query("op5_partenum_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_components(scan_table(spark, "documents", sf_dir))
