@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import partenum, secrets, shards, warc
+from . import chunks, partenum, secrets, shards, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_partenum_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similar_components(scan_table(spark, "documents", sf_dir))
+
+
+@query("op4_token_orc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digests(scan_table(spark, "documents", sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_chunk_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.round_trip(scan_table(spark, "documents", sf_dir), public_tokenizers.path("word_bpe_49k.json"))
