@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import chunks, partenum, secrets, shards, tokens, warc
+from . import chunks, decontaminate, partenum, secrets, shards, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chunk_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.round_trip(scan_table(spark, "documents", sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_spaced_seeds")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(scan_table(spark, "documents", sf_dir), scan_table(spark, "benchmark", sf_dir))
