@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import chunks, decontaminate, partenum, secrets, shards, tokens, warc
+from . import chunks, decontaminate, hamming, partenum, secrets, shards, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_spaced_seeds")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(scan_table(spark, "documents", sf_dir), scan_table(spark, "benchmark", sf_dir))
+
+
+NEIGHBORS = 10
+
+
+@query("op6_hamming_topk")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.binary_codes(scan_table(spark, "embeddings", sf_dir), "vec_id", "embedding")
+    return hamming.nearest(codes, codes.filter("id % 50 = 0"), NEIGHBORS).withColumnRenamed("id", "vec_id")
