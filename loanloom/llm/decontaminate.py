@@ -162,14 +162,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_TOKEN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for items in blocks(benchmark, block):
-        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(items)), SCHEMA)
+        part = docs.mapInArrow(_search(spark.sparkContext.broadcast((items.ids, items.tokens, items.bounds))), SCHEMA)
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
 def _search(shared):
     def run(batches):
-        words, items = tokenizer(), shared.value
+        words, items = tokenizer(), Items(*shared.value)
         owner = rows_of(items.bounds)
         for batch in slices(batches, 1):
             tokens, bounds = tokens_of(words, batch.column(1))
@@ -203,7 +203,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLO
     spark, names = docs.sparkSession, docs.columns
     at = names.index("text")
     for items in blocks(benchmark, block):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((items.ids, items.tokens, items.bounds))
         search = _search(shared)
 
         def run(batches, search=search):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import chunks, decontaminate, hamming, partenum, secrets, shards, tokens, warc
+from . import chunks, decontaminate, hamming, langid, partenum, secrets, shards, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ NEIGHBORS = 10
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = hamming.binary_codes(scan_table(spark, "embeddings", sf_dir), "vec_id", "embedding")
     return hamming.nearest(codes, codes.filter("id % 50 = 0"), NEIGHBORS).withColumnRenamed("id", "vec_id")
+
+
+@query("op1_langid")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(scan_table(spark, "documents", sf_dir))
