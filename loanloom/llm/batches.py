@@ -57,11 +57,12 @@ class Words:
     ``of(texts)`` gives the 64-bit hashes of all words of an Arrow string column
     and the number of words before each row; a null row has no words. Longer
     inputs than a block are hashed block by block, cut between words, so memory
-    stays bounded by the block and eight bytes a word.
+    stays bounded by the block and eight bytes a word. With ``most`` only so many first
+    bytes of a word are hashed.
     """
 
-    def __init__(self, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, block: int = BLOCK_BYTES):
-        self.space, self.values, self.block = space, _VALUES[lower], block
+    def __init__(self, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, block: int = BLOCK_BYTES, most: int | None = None):
+        self.space, self.values, self.block, self.most = space, _VALUES[lower], block, most
         self.powers = self.inverse = np.ones(0, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -78,6 +79,8 @@ class Words:
         starts = np.flatnonzero(word & (~before | edge[:-1]))
         after = np.concatenate((word[1:], [False]))
         ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+        if self.most:
+            ends = np.minimum(ends, starts + self.most)
         self._grow(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[:len(data)], out=sums[1:])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import chunks, decontaminate, hamming, langid, partenum, secrets, shards, tokens, warc
+from . import chunks, decontaminate, hamming, langid, partenum, secrets, shards, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_langid")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(scan_table(spark, "documents", sf_dir))
+
+
+@query("op3_pu_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_documents(scan_table(spark, "documents", sf_dir), scan_table(spark, "labels", sf_dir))
