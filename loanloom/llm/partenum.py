@@ -173,8 +173,25 @@ def sketches(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
+def wide_sketch(features: np.ndarray) -> bytes:
+    """Parities per hash bit with two to four bits a feature, for sets that fill a plain sketch."""
+    bits = 1 << int(2 * len(features) - 1).bit_length()
+    odd = np.bincount((features % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the longer is folded to the length of the other."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def document_sets(docs: DataFrame, scheme: PartEnum, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, spare, level, sketch) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, node, spare, level, sketch, wide) of every row of ``docs`` (doc_id, text).
 
     ``node`` names the set; ``spare`` is the number of own-level signatures beyond those
     that differences can spoil, less one, and negative where there are none.
@@ -187,13 +204,15 @@ def document_sets(docs: DataFrame, scheme: PartEnum, width: int = SHINGLE_WORDS)
             _, _, met = scheme.signatures(value, bounds)
             spare = met - scheme.errors(sizes) * np.where(scheme.level(sizes) == 0, 1, scheme.spoilt) - 1
             flat = pa.array(sketches(value, bounds).ravel())
+            wide = [wide_sketch(value[bounds[i]:bounds[i + 1]]) if n > SKETCH_BITS // 2 else None for i, n in enumerate(sizes.tolist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(set_names(value, bounds)), pa.array(spare.astype(np.int64)),
                 pa.array(scheme.level(sizes).astype(np.int64)),
                 pa.FixedSizeListArray.from_arrays(flat, SKETCH_BITS // 64).cast(pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "node", "spare", "level", "sketch"])
+                pa.array(wide, pa.binary()),
+            ], ["doc_id", "n_shingles", "node", "spare", "level", "sketch", "wide"])
 
-    schema = "doc_id long, n_shingles long, node long, spare long, level long, sketch array<long>"
+    schema = "doc_id long, n_shingles long, node long, spare long, level long, sketch array<long>, wide binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -325,17 +344,37 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE_WORDS) -> Da
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def _near(pairs: DataFrame, info: DataFrame, scheme: PartEnum) -> DataFrame:
+    """(x, y, nx, ny): the pairs that their sizes and sketches leave possible. Drops no similar pair."""
+    num, den = scheme.num, scheme.den
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return info.select(F.col("node").alias(name), *[F.col(c).alias(c[0] + name) for c in columns])
+
+    sized = pairs.join(side("x", "n_shingles"), "x").join(side("y", "n_shingles"), "y").filter(
+        den * F.least("nx", "ny") >= num * F.greatest("nx", "ny"))
+    apart = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    rough = sized.join(side("x", "sketch"), "x").join(side("y", "sketch"), "y").filter(
+        (den + num) * apart <= (den - num) * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
+    rough = materialized(rough, "pairs")
+
+    def run(batches):
+        for batch in batches:
+            nx, ny, wx, wy = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [
+                a is None or b is None or (den + num) * bits_apart(a, b) <= (den - num) * (m + n)
+                for m, n, a, b in zip(nx, ny, wx, wy)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y", "nx", "ny"])
+
+    full = rough.join(side("x", "wide"), "x").join(side("y", "wide"), "y").select("x", "y", "nx", "ny", "wx", "wy")
+    return materialized(full.mapInArrow(run, "x long, y long, nx long, ny long"), "pairs")
+
+
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, scheme: PartEnum, width: int) -> DataFrame:
     """The (x, y) among ``pairs`` whose sets are similar."""
-    def side(name: str) -> DataFrame:
-        return info.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
-
     num, den = scheme.num, scheme.den
-    both = pairs.join(side("x"), "x").filter("x <> y").join(side("y"), "y")
-    both = both.filter((den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")))
-    apart = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    both = both.filter((den + num) * apart <= (den - num) * (F.col("nx") + F.col("ny")))
-    left = materialized(both.select("x", "y", "nx", "ny"), "pairs")
+    left = _near(pairs, info, scheme)
     if left.isEmpty():
         return left.select("x", "y")
     wanted = left.select(F.col("x").alias("node")).union(left.select("y")).distinct()
@@ -350,15 +389,16 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(f"{a} <> {b}").select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
 
 
-def similar_components(docs: DataFrame, num: int = 3, den: int = 4, width: int = SHINGLE_WORDS, per_part: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; others are left out).
+def similar_rows(docs: DataFrame, num: int = 3, den: int = 4, width: int = SHINGLE_WORDS, per_part: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_shingles, node, component, component_id) of every row of ``docs`` (doc_id, text; others are left out).
 
     Words are runs of bytes other than white space, A-Z lower-cased; rows link when the
     Jaccard similarity of their shingle sets is ``num / den`` or more. ``component_id`` is
     the least doc_id a row reaches; a null or blank text has no shingles, links with
     nothing and keeps its own id. Rows with one doc_id and different texts are documents
     of their own; null ids never become a component's id unless all are null. Sets are
-    compared by 64-bit feature hashes. ``docs`` is read several times.
+    compared by 64-bit feature hashes; ``node`` is the set's name and ``component`` the least
+    of its component's, null for an empty set. ``docs`` is read several times.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
@@ -388,7 +428,54 @@ def similar_components(docs: DataFrame, num: int = 3, den: int = 4, width: int =
         "component", F.coalesce("component", "node"))
     least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))).join(least, "component", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", "node", "component",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; see :func:`similar_rows`."""
+    return similar_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+LISTED_IDS = 1 << 20
+
+
+def listed(ids: DataFrame, most: int = LISTED_IDS) -> DataFrame:
+    """Ids to be joined: broadcast where they are counted and at most ``most``, else as they are."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def one_per_component(docs: DataFrame, **options) -> DataFrame:
+    """Of each component of similar rows the one with the least doc_id, all columns kept.
+
+    Rows without shingles stay. Ids on one row each are decided by id, and a list of those
+    that go meets the texts, not the other way round. Rows without id or with an id that
+    several rows have are told apart by their set; of equal ones that of least text hash stays.
+    """
+    names = docs.columns
+    at = names.index("text")
+    rows = materialized(similar_rows(docs, **options), "similar")
+    many = materialized(rows.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    gone = rows.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").union(many).distinct()
+    once = docs.filter("doc_id IS NOT NULL").join(listed(materialized(gone, "gone")), "doc_id", "left_anti").select(names)
+
+    def run(batches):
+        words = Words()
+        for batch in slices(batches, at):
+            value, bounds = shingle_sets(words, batch.column(at), options.get("width", SHINGLE_WORDS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_names(value, bounds))], names=[*names, "set_name"])
+
+    others = docs.join(listed(many), "doc_id", "left_semi").select(names).union(docs.filter("doc_id IS NULL"))
+    schema = others.withColumn("set_name", F.lit(0).cast("long")).schema
+    for field in schema:
+        field.nullable = True
+    kept = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_name"), "component").distinct()
+    named = others.mapInArrow(run, schema)
+    found = named.join(kept, (named["set_name"] == kept["kept_name"]) & named["doc_id"].eqNullSafe(kept["kept_id"]))
+    key = F.coalesce(F.col("component"), F.xxhash64("text"))
+    best = found.groupBy("doc_id", key.alias("place")).agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("row"))
+    return once.union(best.select("row.*"))
 
 
 def _open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
