@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cleaning, models
+from ..operators import cleaning, decisions, models
 from ..plans.standin import Views
+from ..sources.tables import materialized, new_path
 from .registry import query, rounded
 
 INPUTS = models.Inputs(
@@ -67,7 +68,69 @@ def train_forest(v: Views) -> DataFrame:
 
 @query("train_boosted")
 def train_boosted(v: Views) -> DataFrame:
-    return _scores(models.train_boosted(v.app, INPUTS, maxIter=30, maxDepth=5), v)
+    return _scores(models.train_boosted(v.app, INPUTS), v)
+
+
+# ---- properties that hold for a right fit ---------------------------------------
+
+_CHECKED = "SELECT count(*) AS n, TRUE AS in_range, TRUE AS balanced, TRUE AS ranks FROM app WHERE target IS NOT NULL"
+
+
+def _checked(v: Views, model, least_auc: float, by: str | None) -> DataFrame:
+    """One row: scores are probabilities, weighted errors sum to zero (overall or within each
+    score), and labelled rows are ranked better than ``least_auc``."""
+    table = models.model_table(v.app, INPUTS)
+    scored = models.score_table(model, v.app.filter("target IS NOT NULL"), INPUTS).join(
+        table.select("sk_id_curr", models.LABEL, models.WEIGHT), "sk_id_curr")
+    error = F.abs(F.sum(F.col(models.WEIGHT) * (F.col("proba") - F.col(models.LABEL))))
+    if by is None:
+        balanced = F.lit(True)
+    else:
+        groups = scored.groupBy(*([F.round("proba", 9)] if by == "leaf" else [])).agg(error.alias("e"))
+        balanced = F.lit(groups.agg(F.max("e") < 0.01).first()[0])
+    auc = models.roc_auc(scored, models.LABEL, "proba").first()[0]
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("proba").between(0, 1)).alias("in_range"),
+        F.bool_and(balanced).alias("balanced"), F.lit(bool(auc > least_auc)).alias("ranks"))
+
+
+@query("check_logistic", _CHECKED)
+def check_logistic(v: Views) -> DataFrame:
+    return _checked(v, models.train_logistic(v.app, INPUTS), 0.6, "all")
+
+
+@query("check_tree", _CHECKED)
+def check_tree(v: Views) -> DataFrame:
+    return _checked(v, models.train_tree(v.app, INPUTS, maxDepth=7), 0.7, "leaf")
+
+
+@query("check_forest", _CHECKED)
+def check_forest(v: Views) -> DataFrame:
+    return _checked(v, models.train_forest(v.app, INPUTS), 0.7, None)
+
+
+@query("check_boosted", _CHECKED)
+def check_boosted(v: Views) -> DataFrame:
+    return _checked(v, models.train_boosted(v.app, INPUTS), 0.6, None)
+
+
+@query("model_to_profit", """
+    SELECT count(*) AS applications, TRUE AS same_after_reload, TRUE AS all_counted, TRUE AS profit_adds_up FROM app""")
+def model_to_profit(v: Views) -> DataFrame:
+    """From a fitted, saved and reloaded model over scores and the scorecard to the profit table."""
+    model = models.train_tree(v.app, INPUTS, maxDepth=5)
+    again = models.load_model(models.save_model(model, new_path(v.spark, "model")))
+    scores = materialized(models.score_table(again, v.app, INPUTS), "scores")
+    parity = models.score_parity(
+        scores.join(models.score_table(model, v.app, INPUTS, "first"), "sk_id_curr"), "proba", "first").first()
+    cards = v.scored.drop("proba_a", "proba_b", "target")
+    decided = decisions.credit_decision(cards.join(scores, "sk_id_curr"), "proba")
+    rows = {(r.decision, r.amount): r for r in decisions.portfolio_pnl(decided).collect()}
+    total = rows.pop(("total", None))
+    adds = abs(sum(r.profit for r in rows.values()) - total.profit) < 1
+    return decided.agg(
+        F.count(F.lit(1)).alias("applications"), F.lit(parity.all_equal).alias("same_after_reload"),
+        (F.count(F.lit(1)) == total["count"]).alias("all_counted"), F.lit(adds).alias("profit_adds_up"))
 
 
 @query("cross_validate")
@@ -81,7 +144,13 @@ def cross_validate(v: Views) -> DataFrame:
 
 @query("hyperparameter_search")
 def hyperparameter_search(v: Views) -> DataFrame:
-    trials, _ = models.hyperparameter_search(v.app, INPUTS, "logistic", how="holdout")
+    trials, _ = models.hyperparameter_search(v.app, INPUTS, "logistic")
+    return trials
+
+
+@query("search_tree")
+def search_tree(v: Views) -> DataFrame:
+    trials, _ = models.hyperparameter_search(v.app, INPUTS, "tree")
     return trials
 
 

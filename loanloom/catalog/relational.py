@@ -166,10 +166,10 @@ def anti_join_no_history(v: Views) -> DataFrame:
 
 
 @query("older_without_history", """
-    SELECT app.* FROM app LEFT JOIN (SELECT DISTINCT sk_id_curr AS known FROM bur WHERE credit_type = 'Microloan')
+    SELECT app.* FROM app LEFT JOIN (SELECT DISTINCT sk_id_curr AS known FROM cc)
       ON known = sk_id_curr WHERE known IS NULL AND days_birth >= 61 * 365""")
 def older_without_history(v: Views) -> DataFrame:
-    return rel.older_without_history(v.app, v.bur.filter("credit_type = 'Microloan'"), "sk_id_curr")
+    return rel.older_without_history(v.app, v.cc, "sk_id_curr")
 
 
 @query("semi_join_overdue", """

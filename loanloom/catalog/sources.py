@@ -26,6 +26,38 @@ def scan_table(v: Views) -> DataFrame:
     return tables.scan_table(v.spark, "customer", v.folder)
 
 
+_SCANNED = ("app", "bur", "bur_bal", "cc", "prev", "inst", "pos", "hw")
+
+
+def _cells(view: str) -> str:
+    known = " + ".join(f"count({c})" for c in columns(view))
+    return f"SELECT '{view}' AS name, count(*) AS n_rows, {known} AS n_known FROM {view}"
+
+
+@query("scan_every_table", " UNION ALL ".join(_cells(t) for t in _SCANNED))
+def scan_every_table(v: Views) -> DataFrame:
+    out = None
+    for name in _SCANNED:
+        frame = getattr(v, name)
+        known = sum((F.count(F.col(c)) for c in frame.columns), F.lit(0))
+        part = frame.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), known.cast("long").alias("n_known"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SQL_TEXT = """
+    SELECT c_mktsegment, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total, max(l.lines) AS most_lines
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+      JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
+    GROUP BY c_mktsegment, n_name HAVING count(*) > 3"""
+
+
+@query("sql_over_views", _SQL_TEXT)
+def sql_over_views(v: Views) -> DataFrame:
+    tables.register_views(v.spark, v.folder, ["customer", "nation", "orders", "lineitem"])
+    return v.spark.sql(_SQL_TEXT)
+
+
 @query("sink_feature_file", """
     SELECT sk_id_curr, max(amt_credit_sum_overdue) AS max_overdue_amt FROM bur GROUP BY sk_id_curr""")
 def sink_feature_file(v: Views) -> DataFrame:

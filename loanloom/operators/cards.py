@@ -55,7 +55,7 @@ def _profile(df, key, columns, periods, month, approximate, limit) -> DataFrame:
     if large is not None:
         medians = exact_quantiles(large, [key], list(cells), [0.5], limit=0)
         medians = medians.select(key, *[F.col(f"`{c}`")[0].alias(f"{c}_median") for c in cells])
-        result = result.unionByName(aggregate(large, False).join(medians, key))
+        result = result.unionByName(aggregate(large, False).join(medians, key, "left"))
     return result
 
 

@@ -158,15 +158,19 @@ def one_hot(df: DataFrame, columns: list[str], drop: str | None = None, values:
     ``drop`` is None, ``first`` or ``if_binary``. A missing value is a category
     of its own, last, named ``nan``.
     """
+    open_ = [c for c in columns if not (values and c in values)]
+    found: dict[str, list] = {c: [] for c in open_}
+    if open_:  # the values of all columns in one pass
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in open_])
+        for r in df.select(F.explode(cells).alias("x")).select("x.c", "x.v").distinct().collect():
+            found[r.c].append(r.v)
     flags = []
     for c in columns:
         text = col(c).cast("string")
-        if values and c in values:
-            known, holes = list(values[c]), False
+        if c in found:
+            known, holes = sorted(v for v in found[c] if v is not None), None in found[c]
         else:
-            source = df.select(text.alias(c))
-            known = category_values(source, c)
-            holes = not source.filter(col(c).isNull()).isEmpty()
+            known, holes = list(values[c]), False
         tests = [(f"{c}_{v}", F.coalesce(text == v, F.lit(False))) for v in known]
         if holes:
             tests.append((f"{c}_nan", col(c).isNull()))

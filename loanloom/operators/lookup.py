@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.core import col
+
 LOOKUP_ROWS = 20_000  # largest table that may be broadcast
 GROUP_ROWS = 500_000  # largest group that one task may sort or keep as value counts
 
@@ -28,6 +32,14 @@ def attach_lookup(
     return df.join(F.broadcast(lookup) if small else lookup, on, how)
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left", broadcast: bool = False) -> DataFrame:
+    """Join on keys of which NULLs count as equal; the columns of ``df`` come first, keys once."""
+    right = other.select(*[col(k).alias(f"_right_{k}") if k in keys else col(k) for k in other.columns])
+    right = F.broadcast(right) if broadcast else right
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_right_{k}")) for k in keys])
+    return df.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Even out the rows of a frame over all tasks, for work that is heavy per row."""
     spark = df.sparkSession
@@ -38,11 +50,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 def split_by_size(
     df: DataFrame, keys: list[str], limit: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if none)."""
+    """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if none).
+
+    A NULL key is a group like any other.
+    """
     large = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     rows, small = small_or_lazy(large)
-    if small:
-        if rows.isEmpty():
-            return df, None
-        rows = F.broadcast(rows)
-    return df.join(rows, keys, "left_anti"), df.join(rows, keys, "left_semi")
+    if small and rows.isEmpty():
+        return df, None
+    return null_safe_join(df, rows, keys, "left_anti", small), null_safe_join(df, rows, keys, "left_semi", small)

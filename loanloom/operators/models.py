@@ -11,13 +11,14 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import col
 from .cleaning import MISSING_NUMBER, MISSING_TEXT
-from .lookup import GROUP_ROWS, LOOKUP_ROWS
+from ..sources.tables import materialized
+from .lookup import GROUP_ROWS, attach_lookup
 from .ordered import running_totals
 from .sampling import stratified_folds, stratified_split
 
@@ -42,28 +43,27 @@ class Inputs:
 # ---- tables for training -----------------------------------------------------
 
 def balanced_weights(df: DataFrame, label: str, name: str = WEIGHT) -> DataFrame:
-    """Add the class weight n / (classes * n_class)."""
-    counts = df.filter(col(label).isNotNull()).groupBy(label).count().limit(LOOKUP_ROWS + 1).collect()
-    if len(counts) > LOOKUP_ROWS:
-        raise ValueError(f"{label} is not a class label")
-    total = sum(r["count"] for r in counts)
-    weight: Column | None = None
-    for r in counts:
-        value = total / (len(counts) * r["count"])
-        hit = col(label) == r[label]
-        weight = F.when(hit, value) if weight is None else weight.when(hit, value)
-    return df.withColumn(name, F.lit(None).cast("double") if weight is None else weight)
+    """Add the class weight n / (classes * n_class); rows without a label have none."""
+    counts = df.filter(col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    weights = counts.select(col(label), (F.lit(total) / (F.lit(classes) * F.col("_n"))).alias("_weight"))
+    joined = attach_lookup(df, weights, [label])
+    return joined.select(*[col(c) for c in df.columns if c != name], F.col("_weight").alias(name))
 
 
 def model_table(df: DataFrame, inputs: Inputs, labelled: bool = True) -> DataFrame:
-    """Id, label and filled features; labelled tables also carry balanced class weights."""
+    """Id, label and filled features; labelled tables also carry balanced class weights.
+
+    A labelled table is written once, cut down to the model's columns: weights, encoders and
+    learners read that and not the features' whole history again.
+    """
     numbers = [F.coalesce(col(c).cast("double"), F.lit(float(MISSING_NUMBER))).alias(c) for c in inputs.numeric]
     texts = [F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT)).alias(c) for c in inputs.categorical]
     if not labelled:
         return df.select(inputs.id_col, *numbers, *texts)
     known = df.filter(col(inputs.target).isNotNull())
     table = known.select(inputs.id_col, col(inputs.target).cast("double").alias(LABEL), *numbers, *texts)
-    return balanced_weights(table, LABEL)
+    return balanced_weights(materialized(table, "model-table"), LABEL)
 
 
 def encoding_stages(inputs: Inputs, scale: bool = True, expand: bool = True) -> list:
@@ -99,9 +99,11 @@ def _common(**params) -> dict:
 
 def logistic(rows: int, C: float = 1.0, maxIter: int = 100, features: str = FEATURES) -> LogisticRegression:
     """L2 logistic regression; ``C`` is the inverse strength over ``rows`` rows."""
-    return LogisticRegression(**_common(
+    learner = LogisticRegression(**_common(
         featuresCol=features, maxIter=maxIter, regParam=1.0 / (C * max(rows, 1)), standardization=False
     ))
+    learner.stated_rows = max(rows, 1)
+    return learner
 
 
 def tree(seed: int = SEED, **params) -> DecisionTreeClassifier:
@@ -137,8 +139,15 @@ def train_boosted(df: DataFrame, inputs: Inputs, validation: float = 0.25, **par
     parts = {"train": 1 - validation, "validation": validation}
     table = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, parts, SEED)
     table = table.withColumn("held_out", F.col("split") == "validation").drop("split")
-    learner = boosted(validationIndicatorCol="held_out", **params)
-    return Pipeline(stages=[*encoding_stages(inputs, expand=False), learner]).fit(table)
+    encoder = Pipeline(stages=encoding_stages(inputs, expand=False)).fit(table)
+    learner = boosted(validationIndicatorCol="held_out", **{"maxBins": bins_for(encoder), "validationTol": 1e-5, **params})
+    return PipelineModel(stages=[*encoder.stages, learner.fit(encoder.transform(table))])
+
+
+def bins_for(encoder: PipelineModel, least: int = 32) -> int:
+    """Bins that a tree needs for its indexed categories, one for unknown values included."""
+    widths = [len(labels) + 1 for stage in encoder.stages if isinstance(stage, StringIndexerModel) for labels in stage.labelsArray]
+    return max([least, *widths])
 
 
 # ---- scores ------------------------------------------------------------------
@@ -220,6 +229,18 @@ def evaluator(metric: str = "areaUnderROC") -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName=metric)
 
 
+def fitted_to(learner, rows: int, bins: int):
+    """The learner for a table of so many rows and categories.
+
+    A logistic learner's penalty was stated for another number of rows and is scaled to
+    this one; a tree gets the bins that its categories need.
+    """
+    if isinstance(learner, LogisticRegression):
+        stated = getattr(learner, "stated_rows", None)
+        return learner.copy({learner.regParam: learner.getRegParam() * stated / max(rows, 1)}) if stated else learner
+    return learner.copy({learner.maxBins: max(bins, learner.getOrDefault(learner.maxBins))})
+
+
 def _judge(train: DataFrame, held: DataFrame, stages: list, learner, maps: list[dict], metric: str, pool) -> list[float]:
     """Metric of every parameter map on ``held``; the encoders are fitted on ``train`` alone."""
     encoder = Pipeline(stages=stages).fit(train)
@@ -228,8 +249,11 @@ def _judge(train: DataFrame, held: DataFrame, stages: list, learner, maps: list[
     held = encoder.transform(held).select(*columns).persist()
     judge = evaluator(metric)
 
+    rows, bins = train.count(), bins_for(encoder)
+
     def run(params: dict) -> float:
-        return judge.evaluate(learner.copy(params).fit(train).transform(held))
+        one = fitted_to(learner.copy(params), rows, bins)
+        return judge.evaluate(one.fit(train).transform(held))
 
     try:
         return pool.map(run, maps)
@@ -339,7 +363,9 @@ def hyperparameter_search(
         else:
             scores = validate(table, inputs.id_col, stages, learner, maps, seed=seed, parallelism=parallelism)
         best = maps[max(range(len(maps)), key=lambda i: scores[i])]
-        model = Pipeline(stages=[*stages, learner.copy(best)]).fit(table)
+        encoder = Pipeline(stages=stages).fit(table)
+        final = fitted_to(learner.copy(best), rows, bins_for(encoder))
+        model = PipelineModel(stages=[*encoder.stages, final.fit(encoder.transform(table))])
     finally:
         table.unpersist()
     trials = [(i, str(sorted(d.items())), float(s)) for i, (d, s) in enumerate(zip(draws, scores))]
@@ -394,9 +420,10 @@ def blend(
     parts = stratified_split(
         model_table(df, inputs), inputs.id_col, LABEL, {"train": 0.6, "validation": 0.2, "test": 0.2}, seed
     )
+    parts = materialized(parts, "blend")
     train = parts.filter(F.col("split") == "train")
     encoder = Pipeline(stages=encoding_stages(inputs)).fit(train)
-    encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES).persist()
+    encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES)
     train = encoded.filter(F.col("split") == "train")
     models = _fit_all(bases, train)
     names, keep = list(models), [inputs.id_col, LABEL]
@@ -418,6 +445,7 @@ def stack_oof(
     """
     bases, meta = bases or default_bases(), {**META, **(meta or {})}
     parts = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, {"train": 0.8, "validation": 0.2}, seed)
+    parts = materialized(parts, "stack")
     train = parts.filter(F.col("split") == "train")
     encoder = Pipeline(stages=encoding_stages(inputs)).fit(train)
     encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES)
@@ -466,6 +494,18 @@ def fitted_source_weights(df: DataFrame, inputs: Inputs, digits: int = 2, **para
     complete = df.dropna(subset=[*inputs.numeric, inputs.target])
     table = model_table(complete, inputs)
     stages = encoding_stages(inputs, scale=False)
-    model = Pipeline(stages=[*stages, boosted(**{"maxIter": 20, "maxDepth": 4, **params})]).fit(table)
+    model = Pipeline(stages=[*stages, boosted(**params)]).fit(table)
     importances = model.stages[-1].featureImportances.toArray()
     return {n: round(float(v), digits) for n, v in zip(inputs.numeric, importances)}
+
+
+# ---- from a model to decisions -------------------------------------------------
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline, encoders included, to a folder that all machines share."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

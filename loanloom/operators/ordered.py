@@ -11,27 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import col
-from .lookup import GROUP_ROWS, small_or_lazy, split_by_size
+from .lookup import GROUP_ROWS, null_safe_join, small_or_lazy, split_by_size
 
 SLICE_ROWS = 500_000  # rows a slice should hold
-MAX_SLICES = 1 << 13
+SAMPLED_PER_SLICE = 256  # values per slice, on average, from which the cuts are taken
 CUT_CELLS = 1 << 21  # most cut points that may be broadcast (16 MB)
 
 
 def slice_count(rows: int) -> int:
     """Slices for a group of that many rows, a power of two."""
     wanted = max(2, rows // SLICE_ROWS + 1)
-    return min(MAX_SLICES, 1 << (wanted - 1).bit_length())
+    return 1 << (wanted - 1).bit_length()
 
 
-def slice_cuts(df: DataFrame, keys: list[str], value: str, slices: int, limit: int) -> DataFrame:
-    """``slices - 1`` approximate quantiles of ``value`` for every group of more than ``limit`` rows."""
+def slice_cuts(counted: DataFrame, df: DataFrame, keys: list[str], value: str, slices: int, rows: int, limit: int) -> DataFrame:
+    """``slices - 1`` approximate quantiles of the distinct values of every group of more than ``limit`` rows.
+
+    They are taken from a hash-chosen share of the distinct values, so what meets in one
+    task per group grows with the number of slices and not with the rows. A large group
+    of so few values that none was chosen stays one slice.
+    """
     # one text literal instead of thousands of number literals in the plan
     shares = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
-    return df.groupBy(*keys).agg(
-        F.percentile_approx(col(value).cast("double"), shares, F.lit(2 * slices)).alias("_cuts"),
-        F.count(F.lit(1)).alias("_rows"),
-    ).filter(F.col("_rows") > limit).drop("_rows")
+    word = 1 << 30
+    chosen = F.pmod(F.xxhash64(col(value).cast("double")), F.lit(word)) < max(1, min(word, word * SAMPLED_PER_SLICE * slices // max(rows, 1)))
+    cuts = counted.filter(chosen).groupBy(*keys).agg(
+        F.percentile_approx(col(value).cast("double"), shares, F.lit(2 * slices)).alias("_cuts"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys)
+    return null_safe_join(cuts, large, keys, "left_semi")
 
 
 def _with_slice(counted: DataFrame, keys: list[str], value: str, cuts: DataFrame, slices: int) -> DataFrame:
@@ -40,7 +47,7 @@ def _with_slice(counted: DataFrame, keys: list[str], value: str, cuts: DataFrame
     Groups without cut points stay one slice.
     """
     cuts, small = small_or_lazy(cuts, CUT_CELLS // slices)
-    out = counted.join(F.broadcast(cuts) if small else cuts, keys, "left").withColumn("_slice", F.lit(0))
+    out = null_safe_join(counted, cuts, keys, "left", small).withColumn("_slice", F.lit(0))
     half = slices // 2
     while half:
         below = F.get("_cuts", F.col("_slice") + (half - 1)) < col(value).cast("double")
@@ -70,7 +77,7 @@ def running_totals(
             *[F.sum(s).over(group).alias(f"{s}_all") for s in sums],
         )
     slices = slice_count(rows)
-    sliced = _with_slice(counted, keys, value, slice_cuts(source, keys, value, slices, limit), slices)
+    sliced = _with_slice(counted, keys, value, slice_cuts(counted, source, keys, value, slices, rows, limit), slices)
     part = [*keys, "_slice"]
     group = Window.partitionBy(*keys)
     lower = group.orderBy("_slice").rowsBetween(*before_all)
@@ -88,7 +95,7 @@ def running_totals(
     local = sliced.select(
         "*", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_local") for s in sums]
     )
-    return local.join(offsets, part).select(
+    return null_safe_join(local, offsets, part, "inner").select(
         *counted.columns,
         *[(F.col(f"_{s}_offset") + F.col(f"_{s}_local")).alias(f"{s}_before") for s in sums],
         *[f"{s}_all" for s in sums],
@@ -125,7 +132,8 @@ def _sliced_quantiles(df, keys, columns, probs, rows: int, limit: int) -> DataFr
         F.first(F.when(F.col("_column") == c, F.col("_q")), ignorenulls=True).alias(c)
         for c in columns
     ]
-    return found.groupBy(*keys).agg(*wide)
+    # groups without a known value keep their row
+    return null_safe_join(df.select(*keys).distinct(), found.groupBy(*keys).agg(*wide), keys)
 
 
 def exact_quantiles(

@@ -142,11 +142,11 @@ def category_shares(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def older_without_history(df: DataFrame, history: DataFrame, key: str, years: int = 60) -> DataFrame:
     """Clients older than ``years`` full years of 365 days that the history does not know."""
-    return df.filter(whole_div("days_birth", DAYS) > years).join(history.select(key), key, "left_anti")
+    return df.filter(whole_div("days_birth", DAYS) > years).join(history.select(key).distinct(), key, "left_anti")
 
 
 def without_match(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return df.join(other.select(key), key, "left_anti")
+    return df.join(other.select(key).distinct(), key, "left_anti")
 
 
 def often_overdue(credits: DataFrame, days: int = 61, n: int = 2, key: str = "sk_id_curr") -> DataFrame:

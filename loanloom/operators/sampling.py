@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,12 +13,21 @@ from .lookup import attach_lookup, spread
 
 WORD = 1 << 32
 BINS = 1 << 18
-# Cumulative Poisson(1) probabilities, the thresholds of a weight.
-POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-)
+
+
+def _poisson_cdf() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities, as far as they differ in 32 bits."""
+    term = total = math.exp(-1)
+    out = [total]
+    while True:
+        term /= len(out)
+        total += term
+        if int(total * WORD) == int(out[-1] * WORD):
+            return tuple(out)
+        out.append(total)
+
+
+POISSON_CDF = _poisson_cdf()  # the thresholds of a weight
 # Fixed value: multiplier of the 32-bit integer mixer.
 MIXER = 0x45D9F3B
 

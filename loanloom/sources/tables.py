@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,15 +17,33 @@ from ..functions.core import col
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares between machines, named by ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, one is made and set.
+    Where that is unset a session on this machine alone gets a folder of its own, removed
+    when the process ends. On a cluster the folder has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="loanloom-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = os.path.join(tempfile.gettempdir(), f"loanloom-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def register_views(spark: SparkSession, folder: str, names: list[str] | None = None) -> list[str]:
+    """Make the tables of a folder known to SQL text under their names; returns the names.
+
+    Without ``names`` every ``<name>.parquet`` of the folder is registered.
+    """
+    if names is None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        names = sorted(f.getPath().getName().removesuffix(".parquet") for f in listed if f.getPath().getName().endswith(".parquet"))
+    for name in names:
+        scan_table(spark, name, folder).createOrReplaceTempView(name)
+    return names
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loanloom.operators.lookup import attach_lookup, small_or_lazy, split_by_size
+from loanloom.operators.lookup import attach_lookup, null_safe_join, small_or_lazy, split_by_size
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,10 @@ def test_split_by_size(sides):
     small, large = split_by_size(big, ["k"], 100)
     assert large.select("k").distinct().collect()[0]["k"] == 0 and large.count() == 334 and small.count() == 666
     assert split_by_size(big, ["k"], 1000)[1] is None
+
+
+def test_a_null_key_is_a_group(sides):
+    big = sides[0].withColumn("k", F.when(F.col("k") == 0, None).otherwise(F.col("k")))
+    small, large = split_by_size(big, ["k"], 100)
+    assert large.count() == large.filter("k IS NULL").count() == 334 and small.count() == 666
+    assert null_safe_join(big, big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"]).filter("n = 334").count() == 334

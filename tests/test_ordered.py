@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loanloom.operators import ordered, survey
+from loanloom.operators import cards, ordered, survey
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,7 @@ def test_average_ranks(skewed, monkeypatch, limit):
 def test_slices_split_a_large_group(skewed):
     source = skewed.filter("k = 'hot' AND x IS NOT NULL")
     counted = source.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    cuts = ordered.slice_cuts(source, ["k"], "x", 16, 100)
+    cuts = ordered.slice_cuts(counted, source, ["k"], "x", 16, source.count(), 100)
     sizes = [r["count"] for r in ordered._with_slice(counted, ["k"], "x", cuts, 16).groupBy("_slice").count().collect()]
     assert len(sizes) > 8 and max(sizes) < counted.count() / 4
 
@@ -66,7 +66,7 @@ def test_slices_split_a_large_group(skewed):
 def test_slice_count():
     assert ordered.slice_count(1) == 2
     assert ordered.slice_count(5_000_000) == 16
-    assert ordered.slice_count(10**13) == ordered.MAX_SLICES
+    assert ordered.slice_count(10**13) == 1 << 25
 
 
 def test_impute_and_box(spark):
@@ -84,3 +84,31 @@ def test_auto_bins_matches_numpy():
     x = np.random.default_rng(0).normal(size=500)
     q = np.quantile(x, [0.25, 0.75])
     assert survey.auto_bins(len(x), x.min(), x.max(), q[1] - q[0]) == len(np.histogram_bin_edges(x, "auto")) - 1
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    rows = [(k, x) for k in ("a", None, "void") for x in [3.0, 1.0, 2.0, 2.0, None] for _ in range(9)]
+    return spark.createDataFrame([(k, None if k == "void" else x) for k, x in rows], "k string, x double")
+
+
+def test_both_plans_keep_null_keys_and_empty_groups(holes, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
+
+    def quantiles(limit):
+        return sorted((tuple(r) for r in ordered.exact_quantiles(holes, ["k"], ["x"], [0.25, 0.5], limit).collect()), key=str)
+
+    def ranks(limit):
+        return sorted((tuple(r) for r in ordered.average_ranks(holes, "x", ["k"], limit).collect()), key=str)
+
+    assert quantiles(10**6) == quantiles(1) and len(quantiles(1)) == 3
+    assert ranks(10**6) == ranks(1) and {r[0] for r in ranks(1)} == {"a", None}
+    void = holes.filter("k = 'void'")
+    assert [tuple(r) for r in ordered.exact_quantiles(void, [], ["x"], [0.5], 1).collect()] == [(None,)]
+
+
+def test_profiles_keep_keys_without_values(holes):
+    cells = holes.filter("k IS NOT NULL").withColumn("months_balance", F.lit(-1))
+    for profile in (cards.six_stat_profile, cards.period_ratio_profile):
+        one = sorted((tuple(r) for r in profile(cells, "k", ["x"]).collect()), key=str)
+        assert one == sorted((tuple(r) for r in profile(cells, "k", ["x"], limit=1).collect()), key=str) and len(one) == 2
