@@ -19,7 +19,7 @@ PIECES = {p: Pieces(tokenizer_text(p)) for p in (BYTE, WORD)}
 
 WORDS = st.sampled_from([
     "the", "Don't", "we'LL", "İstanbul", "naïve", "é", "́", " ", "  ", "\n", "\n\n ", "\t", " ", " ", " ", "​", "\x1c",
-    "\x85", "᠎", "<|endoftext|>", "<|startoftext|>", "<|", "123", "x" * 50, "日本語テキスト", "🙂👩‍👩‍👧", "!!", "...", "'s", "ß", "ΑΣ", " ", "a",
+    "\x85", "᠎", "<|endoftext|>", "<|startoftext|>", "<|", "123", "x" * 50, "日本語テキスト", "🙂👩‍👩‍👧", "!!", "...", "'s", "it's!'s", "a.b", "_x", "÷", "ɐ", "ß", "ΑΣ", " ", "a",
 ])
 
 
