@@ -79,7 +79,7 @@ class Chunk:
 class ChunkEncoder:
     """Encodes texts from chunks; ``shared`` are chunks that came encoded, the task's own are kept beside."""
 
-    def __init__(self, pieces: Pieces, shared: dict[str, Chunk], keep: int = 20_000):
+    def __init__(self, pieces: Pieces, shared: dict[str, Chunk], keep: int = 8_000):
         self.pieces, self.shared, self.own, self.keep = pieces, shared, {}, keep
         self.encoded = self.reused = self.repaired = 0
 

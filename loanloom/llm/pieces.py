@@ -1,10 +1,11 @@
 """Exact ids of whole texts from cached pieces.
 
 The pre-tokenizers used here never let a token span from a character that is no white
-space to one that is. So a text may be cut at these places, pieces such as `` the`` are
-encoded once by the tokenizers library, and their ids are put together again. Texts with
-characters that Unicode versions class differently, or with the strings of special
-tokens, are given to the library whole.
+space to one that is, nor from a letter or digit to a punctuation mark. So a text may be
+cut at these places (the second kind only between Latin characters and ASCII marks),
+pieces such as `` the`` are encoded once by the tokenizers library, and their ids are put
+together again. Texts with characters that Unicode versions class differently, or with
+the strings of special tokens, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import types
 
 import numpy as np
 
-_PIECE = re.compile(r"\s*\S+|\s+")
+_PIECE = re.compile(r"\s*[A-Za-z0-9À-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 PIECE_CHARS = 40
-CACHE_PIECES = 400_000
+CACHE_PIECES = 350_000
+LATE_PIECES = 80_000
 
 
 def per_process(name: str, version, make):
@@ -39,11 +41,13 @@ def tokenizer_text(path: str) -> str:
 class Pieces(dict):
     """Ids, as little-endian unsigned 32-bit integers, of pieces; missing ones are encoded.
 
-    Pieces of usual length stay, up to a bound; then the cache starts anew.
+    The first pieces of usual length stay, up to a bound, and frequent pieces come early;
+    later ones go to a smaller cache that starts anew when it is full.
     """
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
+        self.late: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,11 +61,16 @@ class Pieces(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.late.get(piece)
+        if ids is None:
+            ids = self.whole(piece)
+            if len(piece) <= PIECE_CHARS:
+                if len(self) < CACHE_PIECES:
+                    self[piece] = ids
+                else:
+                    if len(self.late) >= LATE_PIECES:
+                        self.late.clear()
+                    self.late[piece] = ids
         return ids
 
     def sound(self, text: str) -> bool:
