@@ -6,7 +6,7 @@ number chosen for bands of equal size), parts are taken in groups of ``split``,
 signature hashes the features that a set has in each choice of ``pick`` parts of a group.
 A feature in which the sets differ spoils C(split - 1, pick - 1) signatures of a set, so
 b keeps more signatures than can be spoilt, and one of them is a signature of a as well.
-Sets of up to 255 features use the finest domain, each feature a part of its own.
+Sets of up to 1023 features use the finest domain, each feature a part of its own.
 
 That count gives more. As b has ``spare`` signatures beyond the spoilt ones, it may leave
 its ``spare`` largest buckets untested and still meets every partner in another one. So
@@ -35,11 +35,12 @@ from .batches import Words, mix, rows_of, slices
 from .components import components
 
 SHINGLE_WORDS = 5
-FINE_LEVEL = 8  # sets below 2 ** FINE_LEVEL features: every feature is a part
+FINE_LEVEL = 10  # sets below 2 ** FINE_LEVEL features: every feature is a part
 SKETCH_BITS = 1024
 SIGNATURE_BITS = 48
 LEVEL_BITS = 5
 PACK_BYTES = 8 << 20
+STAR_ROUNDS = 2  # stars around other nodes before the full test
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -415,11 +416,12 @@ def similar_rows(docs: DataFrame, num: int = 3, den: int = 4, width: int = SHING
     met = materialized(meetings(docs, scheme, parts, width), "meetings")
     links = _verified(docs, info, _ordered(met, "lead", "node"), scheme, width)
     found = materialized(components(links), "components")
-    for last in (False, True):
+    for step in range(STAR_ROUNDS + 1):
         buckets = _open_buckets(met, found)
         if buckets.isEmpty():
             break
-        pairs = _required(buckets, info, scheme) if last else _around_another(buckets)
+        sized = _sized(buckets, info)
+        pairs = _around_another(sized, scheme, step) if step < STAR_ROUNDS else _required(sized, scheme)
         more = _verified(docs, info, pairs, scheme, width)
         if not more.isEmpty():
             links = links.union(more)
@@ -487,23 +489,65 @@ def _open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
     return materialized(members.join(open_.filter("a <> b AND members > 2").select("sig", "members"), "sig"), "buckets")
 
 
-def _around_another(buckets: DataFrame) -> DataFrame:
-    """Pairs of each open bucket's nodes with one of its nodes, chosen by hash, in another component."""
-    chosen = buckets.groupBy("sig").agg(F.max_by(F.struct("node", "component"), F.xxhash64("node")).alias("lead"))
-    pairs = buckets.join(chosen, "sig").filter("component <> lead.component")
-    return _ordered(pairs.select("node", F.col("lead.node").alias("lead")), "node", "lead")
+def _sized(buckets: DataFrame, info: DataFrame) -> DataFrame:
+    """Bucket rows with the node's size and level, whether the bucket is of that level (``own``),
+    and how many of its features lie in no open bucket (``cold``, where each feature is a part)."""
+    own = F.col("sig").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)) == F.col("level")
+    sized = buckets.join(info.select("node", "n_shingles", "spare", "level"), "node").withColumn("own", own)
+    return materialized(sized.withColumn(
+        "cold", F.col("n_shingles") - F.sum(F.col("own").cast("long")).over(Window.partitionBy("node"))), "sized")
 
 
-def _required(buckets: DataFrame, info: DataFrame, scheme: PartEnum) -> DataFrame:
-    """The pairs that a node must still be compared in: all but its ``spare`` largest own-level buckets.
+def _possible(scheme: PartEnum, x: str, y: str):
+    """Whether two nodes are of different components, near enough in size and, where features
+    are parts, not set apart by cold features: nodes of different components share none of these."""
+    num, den = scheme.num, scheme.den
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    apart = (F.col(f"{x}.level") > 0) | (F.col(f"{y}.level") > 0) | (
+        (den + num) * (F.col(f"{x}.cold") + F.col(f"{y}.cold")) <= (den - num) * (n + m))
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & (den * F.least(n, m) >= num * F.greatest(n, m)) & apart
+
+
+def _around_another(sized: DataFrame, scheme: PartEnum, step: int) -> DataFrame:
+    """The possible pairs of each open bucket's nodes with one of them, another in every bucket.
 
-    Only with nodes not larger than itself, of other components, and near enough in size.
+    Of many near copies each is so compared with as many others as it has signatures, in
+    work that grows with the rows and not with their square.
     """
-    sized = materialized(buckets.join(info.select("node", "n_shingles", "spare", "level"), "node"), "sized")
-    mine = sized.filter(F.col("sig").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)) == F.col("level"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), "sig"))
-    mine = mine.withColumn("rank", rank).filter("rank > spare").select(
-        "sig", F.col("node").alias("larger"), F.col("component").alias("c"), F.col("n_shingles").alias("n"))
-    pairs = mine.join(sized, "sig").filter("component <> c AND n_shingles <= n").filter(
-        scheme.den * F.col("n_shingles") >= scheme.num * F.col("n"))
+    whole = F.struct("node", "component", "n_shingles", "level", "cold")
+    lead = sized.groupBy("sig").agg(F.max_by(whole, F.xxhash64("node", "sig", F.lit(step))).alias("lead"))
+    lead = lead.select(F.col("sig").alias("bucket"), "lead.*")
+    x, y = sized.alias("x"), lead.alias("y")
+    both = x.join(y, (F.col("x.sig") == F.col("y.bucket")) & _possible(scheme, "x", "y"))
+    return _ordered(both.select(F.col("x.node").alias("node"), F.col("y.node").alias("lead")), "node", "lead")
+
+
+def _required(sized: DataFrame, scheme: PartEnum) -> DataFrame:
+    """The pairs that must still be compared.
+
+    Where each feature is a part: a similar pair has so few cold features that one node is
+    nearly all open ones (a core). A core that is the smaller of two lacks at most
+    n (1 - t) / (1 + t) of its features in the other, a core that is the larger n (1 - t);
+    it leaves out as many of its largest buckets as it has features beyond these. Elsewhere
+    the larger node leaves out its ``spare`` largest own-level buckets.
+    """
+    num, den = scheme.num, scheme.den
+    order = Window.partitionBy("node").orderBy(F.desc("own"), F.desc("members"), "sig")
+    ranked = sized.withColumn("rank", F.row_number().over(order)).filter("own")
+
+    def core(side: str):
+        return 2 * num * F.col(f"{side}.cold") <= (den - num) * F.col(f"{side}.n_shingles")
+
+    def fine(lacking: int):
+        kept = F.floor(F.col("n_shingles") * (den - num) / lacking)
+        return ranked.alias("x").filter((F.col("level") == 0) & core("x") & (F.col("rank") > F.col("n_shingles") - kept - 1))
+
+    def met(chosen: DataFrame, condition) -> DataFrame:
+        x, y = chosen.alias("x"), sized.alias("y")
+        both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & _possible(scheme, "x", "y") & condition)
+        return both.select(F.col("x.node").alias("larger"), F.col("y.node").alias("node"))
+
+    rising = F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node")
+    coarse = met(ranked.filter((F.col("level") > 0) & (F.col("rank") > F.col("spare"))), F.col("y.n_shingles") <= F.col("x.n_shingles"))
+    pairs = met(fine(den + num), rising).union(met(fine(den), ~rising & ~core("y"))).union(coarse)
     return _ordered(pairs, "larger", "node")

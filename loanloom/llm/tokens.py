@@ -15,6 +15,7 @@ from .batches import slices
 from .pieces import pieces_of, tokenizer_text
 
 END_ID = 2
+CACHED = 600_000  # pieces a worker keeps
 ORC_OPTIONS = {
     "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -66,7 +67,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     path = path or new_path(docs.sparkSession, "tokens")
 
     def run(batches):
-        pieces, part, done = pieces_of(json), TaskContext.get().partitionId(), 0
+        pieces, part, done = pieces_of(json, CACHED), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1):
             ids = [pieces.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
