@@ -182,13 +182,9 @@ def confusion_delta(v: Views) -> DataFrame:
     return models.confusion_delta(v.scored, "target", "proba_a", "proba_b")
 
 
-def _small_bases() -> dict[str, object]:
-    return {"base_rf": models.forest(numTrees=30, maxDepth=6), "base_boosted": models.boosted(maxIter=15, maxDepth=4)}
-
-
 @query("blend")
 def blend(v: Views) -> DataFrame:
-    return rounded(models.blend(v.app, INPUTS, _small_bases()))
+    return rounded(models.blend(v.app, INPUTS))
 
 
 @query("bag_average", "SELECT sk_id_curr, round((proba_a + proba_b) / 2, 6) AS bagging FROM scored")
@@ -197,6 +193,11 @@ def bag_average(v: Views) -> DataFrame:
     return rounded(models.bag_average(scored, ["proba_a", "proba_b"]).drop("proba_a", "proba_b"), 6)
 
 
+def _small_bases() -> dict[str, object]:
+    """Six fits of each base in full size take minutes even on small tables; the operator's defaults are full."""
+    return {"base_rf": models.forest(numTrees=30, maxDepth=6), "base_boosted": models.boosted(maxIter=15, maxDepth=4)}
+
+
 @query("stack_oof")
 def stack_oof(v: Views) -> DataFrame:
     return rounded(models.stack_oof(v.app, INPUTS, _small_bases()))

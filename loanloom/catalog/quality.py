@@ -10,12 +10,15 @@ from .registry import query, rounded
 from .sources import _BOOL, _TEXT
 
 
+_TABLES = ("app", "bur", "bur_bal", "cc", "prev", "inst", "pos")
+
+
 @query("unique_columns", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, "
     f"count(DISTINCT {c}) = count(*) AS is_unique FROM {t}"
-    for t in ("app", "bur", "prev") for c in columns(t)))
+    for t in _TABLES for c in columns(t)))
 def unique_columns(v: Views) -> DataFrame:
-    return quality.unique_columns({"app": v.app, "bur": v.bur, "prev": v.prev})
+    return quality.unique_columns({t: getattr(v, t) for t in _TABLES})
 
 
 RELATIONS = {
@@ -64,7 +67,7 @@ def column_kinds(v: Views) -> DataFrame:
     return quality.column_kinds_table(v.app, IGNORED)
 
 
-PROFILED = ["amt_income_total", "amt_credit", "days_birth", "ext_source_1", "area_avg"]
+PROFILED = [c for c in columns("app") if _kind(c) == "numerical"]
 
 
 @query("table_profile", " UNION ALL ".join(f"""
