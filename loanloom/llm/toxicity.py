@@ -24,9 +24,9 @@ from .decontaminate import _BREAK, tokens_of
 from .langid import held_out
 
 PREFIXES = (None, 5, 6, 7, 8, 9, 10)
-POSITIVES = 3000
-UNLABELLED = 9000
-CANDIDATES = 50_000
+POSITIVES = 2000
+UNLABELLED = 6000
+CANDIDATES = 20_000
 FEATURES = 4096
 LEVELS = 4
 LENGTHS = 24
