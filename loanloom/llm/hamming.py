@@ -93,18 +93,21 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cut = segments(total)
     index = materialized(classes.select(F.explode(_values(cut)).alias("s"), "hi", "lo", "least", "n").select("s.seg", "s.value", "hi", "lo", "least", "n"), "index")
     asked = materialized(queries.select("id", F.col("hi").alias("qhi"), F.col("lo").alias("qlo")).distinct(), "queries")
-    active, best, radius, widest = asked.select("qhi", "qlo").distinct(), None, 0, max(w for _, _, w in cut)
+    active = asked.select("qhi", "qlo").distinct().withColumn("bound", F.lit(BITS))
+    best, radius, widest = None, 0, max(w for _, _, w in cut)
     per_query = Window.partitionBy("qhi", "qlo").orderBy("distance", "least")
     settled = None
     while total:
         widths = sorted({w for _, _, w in cut if w >= radius})
         flips = F.coalesce(*[F.when(F.col("width") == w, _flips(w, radius)) for w in widths])
-        probes = active.select("qhi", "qlo", F.explode(_values(cut, "q")).alias("s")).select("qhi", "qlo", "s.*").withColumn(
-            "flip", F.explode(flips)).select("qhi", "qlo", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(index, ["seg", "value"]).select("qhi", "qlo", "hi", "lo", "least", "n").distinct().withColumn(
-            "distance", _distance("q", ""))
+        probes = active.select("qhi", "qlo", "bound", F.explode(_values(cut, "q")).alias("s")).select("qhi", "qlo", "bound", "s.*").withColumn(
+            "flip", F.explode(flips)).select("qhi", "qlo", "bound", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        # probes grow with the radius, which Spark cannot foresee: never broadcast them; what is beyond the
+        # kth distance so far is dropped where it is met
+        met = probes.hint("merge").join(index, ["seg", "value"]).withColumn("distance", _distance("q", "")).filter(
+            F.col("distance") <= F.col("bound")).select("qhi", "qlo", "hi", "lo", "least", "n", "distance").distinct()
         if best is not None:
-            met = met.unionByName(best.join(active, ["qhi", "qlo"], "left_semi")).distinct()
+            met = met.unionByName(best.join(active, ["qhi", "qlo"], "left_semi").select(met.columns)).distinct()
         best = materialized(met.withColumn("place", F.row_number().over(per_query)).filter(F.col("place") <= k + 1).drop("place"), "best")
         covered = len(cut) * (radius + 1) - 1
         upto = F.sum("n").over(per_query.rowsBetween(Window.unboundedPreceding, 0))
@@ -116,7 +119,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         done = materialized(reached.filter(F.col("kth") <= covered).select("qhi", "qlo"), "settled")
         ready = best.join(done, ["qhi", "qlo"], "left_semi")
         settled = ready if settled is None else settled.unionByName(ready)
-        active = materialized(active.join(done, ["qhi", "qlo"], "left_anti"), "active")
+        active = active.select("qhi", "qlo").join(done, ["qhi", "qlo"], "left_anti").join(reached, ["qhi", "qlo"], "left")
+        active = materialized(active.select("qhi", "qlo", F.coalesce("kth", F.lit(BITS)).alias("bound")), "active")
         if active.isEmpty():
             break
     if settled is None:
