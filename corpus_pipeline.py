@@ -7,9 +7,7 @@ folder and read again for the next one. All but the last return the columns of d
 
 from __future__ import annotations
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loanloom.llm import chunks, decontaminate, langid, partenum, secrets
@@ -56,20 +54,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document; ids are little-endian unsigned 32-bit integers."""
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = chunks.decode_documents(chunks.encode_documents(columns_of(docs), path), path)
-
-    def listed(batches):
-        for batch in batches:
-            values = [np.frombuffer(i, "<i4") for i in batch.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, np.concatenate([*values, np.zeros(0, np.int32)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["doc_id", "coded", "text", "ids"])
-
-    rows = coded.select("doc_id", F.col("ids").alias("coded"), "text").mapInArrow(listed, "doc_id long, coded binary, text string, ids array<int>")
-    return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("coded", 256).alias("ids_sha256"),
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

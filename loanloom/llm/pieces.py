@@ -22,7 +22,7 @@ _PIECE = re.compile(r"\s*[A-Za-z0-9À-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 PIECE_CHARS = 40
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 LATE_PIECES = 80_000
 
 

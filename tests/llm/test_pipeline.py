@@ -70,8 +70,8 @@ def test_stages(spark, folder):
     want = {(r[0], hashlib.sha256(np.array(library.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in after}
     last = P.run(spark, path).collect()
     assert {(r.doc_id, r.ids_sha256) for r in last} == want and len(last) == len(after)
-    assert all(hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 and r.n_tokens == len(r.ids) for r in last)
-    assert all(hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest() == r.decoded_sha256 for r in last[:50])
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and 4 * r.n_tokens == len(r.ids) for r in last)
+    assert all(hashlib.sha256(library.decode(np.frombuffer(r.ids, "<u4").tolist(), skip_special_tokens=False).encode()).hexdigest() == r.decoded_sha256 for r in last[:50])
 
 
 def test_odd_rows_in_every_stage(spark, folder):
