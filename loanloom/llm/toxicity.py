@@ -8,7 +8,9 @@ pushing the unlabelled texts below their true risk.
 
 Features are words and beginnings of words, in lower case, each present or not, present
 twice or more, and frequent or not for the length of the text, and the magnitude of that
-length. Only features that mark out the positives are used.
+length. All features of the positives are compared with the unlabelled texts on Spark;
+only those that mark out the positives are used, the FEATURES clearest where there are
+more, which is the size of the model.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from .langid import held_out
 PREFIXES = (None, 5, 6, 7, 8, 9, 10)
 POSITIVES = 2000
 UNLABELLED = 6000
-CANDIDATES = 20_000
 FEATURES = 4096
 LEVELS = 4
 LENGTHS = 24
@@ -37,6 +38,7 @@ L2 = 3e-4
 SLACK = 0.0
 THRESHOLD = 0.7
 _PLACE_BITS = 20
+_WAITING = 1 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 
 
@@ -151,33 +153,20 @@ def nn_pu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     return w[:size], float(w[size]), turned
 
 
-def telling(positive: np.ndarray, other: np.ndarray, n_pos: int, n_other: int, most: int = FEATURES) -> np.ndarray:
-    """Features whose rate among positives exceeds that elsewhere clearly and by half, the clearest first."""
-    p, u = positive / max(n_pos, 1), other / max(n_other, 1)
-    mean = (positive + other) / max(n_pos + n_other, 1)
-    error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / max(n_pos, 1) + 1 / max(n_other, 1)))
-    z = (p - u) / error
-    good = np.flatnonzero((z > 4) & (positive >= 3) & (p > 1.5 * u))
-    return good[np.argsort(-z[good], kind="stable")][:most]
+def telling(counts: DataFrame, n_pos: int, n_other: int, most: int = FEATURES) -> DataFrame:
+    """Of ``counts`` (feature, positive, other) the features whose rate among positives exceeds that elsewhere clearly and by half, the clearest ``most``."""
+    positive, other = F.col("positive"), F.col("other")
+    p, u = positive / F.lit(float(n_pos)), other / F.lit(float(n_other))
+    mean = (positive + other) / F.lit(float(n_pos + n_other))
+    error = F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / n_pos + 1 / n_other))
+    good = counts.withColumn("z", (p - u) / error).filter((F.col("z") > 4) & (positive >= max(3, n_pos // 200)) & (p > 1.5 * u))
+    return good.orderBy(F.desc("z"), "feature").limit(most)
 
 
 def fit(known: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Choose the telling ones of the known features and fit their weights."""
-    def counted(rows):
-        present = [r[(r % LEVELS == 0) & (r < len(known) * LEVELS)] // LEVELS for r in rows]
-        return np.bincount(np.concatenate([*present, np.zeros(0, np.int64)]), minlength=len(known))
-
-    chosen = np.sort(telling(counted(positive), counted(unlabelled), len(positive), len(unlabelled)))
-    renamed = np.full(len(known) * LEVELS + LENGTHS, -1)
-    for level in range(LEVELS):
-        renamed[chosen * LEVELS + level] = np.arange(len(chosen)) * LEVELS + level
-    renamed[len(known) * LEVELS:] = len(chosen) * LEVELS + np.arange(LENGTHS)
-
-    def reduced(rows):
-        return [r[r >= 0] for r in (renamed[row] for row in rows)]
-
-    weights, bias, _ = nn_pu_fit(reduced(positive), reduced(unlabelled), prior, len(chosen) * LEVELS + LENGTHS)
-    return Model(known[chosen], weights, bias)
+    """Fit the weights of the known features and of the lengths."""
+    weights, bias, _ = nn_pu_fit(positive, unlabelled, prior, len(known) * LEVELS + LENGTHS)
+    return Model(known, weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -188,13 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     it. The prior is the share of toxic ones among all labelled documents. None where
     there are no positives or no others.
     """
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rows = ids.join(marks, "doc_id", "left")
     share = rows.filter("toxic IS NOT NULL").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
 
-    def least(kind, n: int) -> list[int]:
-        return [r.doc_id for r in rows.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").collect()]
+    def least(kind, n: int) -> dict[int, int]:
+        return {r.doc_id: r.copies for r in rows.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "copies").collect()}
 
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
     pos, unl = least(toxic, positives), least(~toxic, unlabelled)
@@ -202,27 +191,41 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return None
     wanted = {i: 1 for i in pos} | {i: 0 for i in unl}
 
-    def chosen(batches, only=None):
+    def chosen(batches):
         for batch in slices(batches, 1):
             kind = np.array([wanted.get(i, -1) for i in batch.column(0).to_pylist()])
-            at = np.flatnonzero(kind == 1 if only else kind >= 0)
+            at = np.flatnonzero(kind >= 0)
             if len(at):
                 yield batch.take(pa.array(at)), kind[at]
 
     def count(batches):
-        extract, parts = Extractor(), []
-        for batch, _ in chosen(batches, True):
+        extract, found, waiting = Extractor(), [], 0
+
+        def summed(parts):
+            features, at = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+            return features, np.stack([np.bincount(at, np.concatenate([n[k] for _, n in parts]), len(features)).astype(np.int32) for k in (0, 1)])
+
+        for batch, kind in chosen(batches):
             for hashes, bounds in extract.hashes(batch.column(1)):
-                pairs = np.unique(np.stack([rows_of(bounds).astype(np.uint64), hashes], 1), axis=0)
-                parts.append(pairs[:, 1])
-        if parts:
-            feature, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n)], ["feature", "n"])
+                row = rows_of(bounds)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                of = kind[row[new]]
+                found.append((hashes[new], np.stack([of == 0, of == 1]).astype(np.int32)))
+                waiting += int(new.sum())
+            if waiting > _WAITING:
+                found, waiting = [summed(found)], 0
+        if found:
+            features, n = summed(found)
+            yield pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), *[pa.array(n[k].astype(np.int64)) for k in (1, 0)]], ["feature", "positive", "other"])
 
     texts = docs.select("doc_id", "text")
-    common = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(
-        F.col("n") >= max(3, len(pos) // 200)).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toArrow()
-    known = np.sort(common["feature"].to_numpy().view(np.uint64))
+    counts = texts.mapInArrow(count, "feature long, positive long, other long").groupBy("feature").agg(
+        F.sum("positive").alias("positive"), F.sum("other").alias("other"))
+    clearest = telling(counts, sum(pos.values()), sum(unl.values())).select("feature").toArrow()
+    known = np.sort(clearest["feature"].to_numpy().view(np.uint64))
 
     def sets(batches):
         lookup = Lookup(known)

@@ -39,6 +39,20 @@ def test_held_out_quality_and_odd_rows(spark):
     assert all(again[i] == r.score for i, r in got.items())
 
 
+def test_rare_features_beside_many_common_ones(spark):
+    rnd = random.Random(3)
+    common = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(3500))  # 24,500 features
+    F = X.F
+    docs = spark.range(360).withColumnRenamed("id", "doc_id")
+    docs = docs.select("doc_id", F.concat(F.lit(common), F.when(F.col("doc_id") < 6, " vileword").otherwise("")).alias("text"))
+    marks = spark.createDataFrame([(i, int(i < 60)) for i in range(360)], "doc_id long, toxic int")
+    model = X.train(docs, marks)
+    want = {int(h) for found, _ in X.Extractor().hashes(X.pa.array(["vileword"])) for h in found}
+    assert {int(h) for h in model.known} == want
+    twice = X.train(docs.union(docs.filter("doc_id < 60")), marks)  # copies of a document count in its kind's rate
+    assert {int(h) for h in twice.known} == want
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(2, "a b"), (3, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
