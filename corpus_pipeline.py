@@ -14,7 +14,6 @@ from loanloom.llm import chunks, decontaminate, langid, partenum, secrets
 from loanloom.sources.tables import materialized, scan_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.3  # below this no language stands out
 
 
 def columns_of(docs: DataFrame) -> DataFrame:
@@ -25,6 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (null and empty ones too) and those in which no language stands out.
 
     The model learns from the text and language of the given rows that are not held out.
+    None stands out below ``model.least``, which follows the number of learned languages and
+    the scores of right predictions for texts not fitted on.
     Without any labelled row nothing can stand out, and only texts without a letter go.
     """
     docs = columns_of(docs)
@@ -32,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     seen = langid.predict(docs, model)
-    return columns_of(seen.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    return columns_of(seen.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= model.least)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

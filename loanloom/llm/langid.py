@@ -23,6 +23,7 @@ SAMPLE_ROWS = 4000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.0005
 CALIBRATION_SHARE = 4  # one in so many sample rows fits the temperature only
+LEAST_SHARE = 0.001  # of right predictions for these, the share whose score counts as low
 UNKNOWN = "und"
 _BREAKS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -53,13 +54,14 @@ def gram_counts(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights per bucket and language, inverse document frequencies, and a temperature."""
+    """Weights per bucket and language, inverse document frequencies, a temperature, and the score below which no language stands out."""
 
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    least: float = 0.0
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return weigh(gram_counts(text), self.idf)
@@ -151,6 +153,21 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def least_score(scores: np.ndarray, languages: int) -> float:
+    """Halfway, in log odds, from chance (one in ``languages``) to the LEAST_SHARE quantile of the scores of right predictions.
+
+    The quantile of n scores counts as n / (n + 1) at most, as so few cannot vouch for more. Chance
+    where there are none, which rejects nothing; a single language always has score 1.
+    """
+    def odds(p: float) -> float:
+        p = min(max(p, 1e-9), 1 - 1e-9)
+        return float(np.log(p / (1 - p)))
+
+    chance = 1 / languages
+    low = max(min(float(np.quantile(scores, LEAST_SHARE)), len(scores) / (len(scores) + 1)), chance) if len(scores) else chance
+    return 1 / (1 + float(np.exp(-(odds(chance) + odds(low)) / 2)))
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from ``labelled`` (text, lang); rows without text, letters or lang teach nothing.
 
@@ -203,7 +220,10 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     model = Model(names, idf, weights, bias)
     if held:
         logits = np.array([v @ weights[at] + bias for at, v, _ in held])
-        model.temperature = fit_temperature(logits, np.array([y for _, _, y in held]))
+        labels = np.array([y for _, _, y in held])
+        model.temperature = fit_temperature(logits, labels)
+        p = softmax(logits / model.temperature)
+        model.least = least_score(p.max(axis=1)[p.argmax(axis=1) == labels], len(names))
     return model
 
 

@@ -81,3 +81,22 @@ def test_odd_rows_in_every_stage(spark, folder):
     for name, stage in P.STAGES:
         assert stage(spark, odd, path).count() <= odd.count()
         assert stage(spark, odd.limit(0), path).count() == 0
+
+
+def test_texts_in_which_no_learned_language_stands_out_go(spark):
+    rnd = random.Random(9)
+    other = [" ".join("".join(rnd.choice(["zwo", "bly", "pni", "gdze", "wux"]) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(3, 60))) for _ in range(60)]
+    rows = [(i, t, g) for i, t, g in corpus(300, 3)]
+    docs = spark.createDataFrame(
+        [(i, t, g, "s", len(t)) for i, t, g in rows + [(1000 + i, t, None) for i, t in enumerate(other)]],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.language_id(spark, docs, "").collect()}
+    assert {i for i, _, _ in rows} <= kept and sum(i >= 1000 for i in kept) <= 40
+
+
+def test_least_score_follows_languages_and_scores():
+    sure, unsure = np.full(1000, 0.999), np.linspace(0.6, 0.999, 100)
+    for n in (2, 3, 4, 50):
+        assert 1 / n < langid.least_score(unsure, n) < langid.least_score(sure, n) < 0.999
+        assert langid.least_score(unsure, n) < 0.6 and abs(langid.least_score(np.zeros(0), n) - 1 / n) < 1e-9
+    assert langid.least_score(np.ones(5), 1) <= 1
