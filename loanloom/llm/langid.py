@@ -35,19 +35,23 @@ def gram_counts(text: str) -> np.ndarray:
     """How often each hash bucket's n-grams occur in the letters of a text.
 
     Letters are lower-cased, everything else is a single space; no n-gram spans more
-    than one break. Long texts are counted in blocks that overlap by an n-gram.
+    than one break. Long texts are counted in blocks that overlap by an n-gram less a
+    letter; an n-gram counts in the block in which it starts.
     """
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), _BLOCK_CHARS):
-        plain = " " + _BREAKS.sub(" ", text[at:at + _BLOCK_CHARS].lower()) + " "
-        codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not text:
+        return total
+    plain, over = " " + _BREAKS.sub(" ", text.lower()) + " ", max(GRAMS) - 1
+    for at in range(0, len(plain), _BLOCK_CHARS):
+        codes = np.frombuffer(plain[at:at + _BLOCK_CHARS + over].encode("utf-32-le", "surrogatepass"), "<u4")
         fold = np.zeros(len(codes), np.uint32)
         for n in range(1, max(GRAMS) + 1):
             if len(codes) < n:
                 break
             fold = (fold[:len(codes) - n + 1] ^ (fold[:len(codes) - n + 1] >> np.uint32(15))) * _STEP + codes[n - 1:]
             if n in GRAMS:
-                mixed = (fold ^ (fold >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+                own = fold[:_BLOCK_CHARS]
+                mixed = (own ^ (own >> np.uint32(16))) * np.uint32(0x85EBCA6B)
                 total += np.bincount(mixed >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
     return total
 

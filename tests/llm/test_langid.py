@@ -59,3 +59,11 @@ def test_penalties_and_calibration():
     logits = rng.normal(size=(4000, 3))
     labels = np.array([rng.choice(3, p=p) for p in L.softmax(logits / 2.5)])
     assert abs(L.fit_temperature(logits, labels) - 2.5) < 0.3
+
+
+def test_blocks_lose_no_gram(monkeypatch):
+    texts = ["Être ou ne pas être, 12 fois! " * 50, "kato" * 300, "İΣ' ΑΣ a", "x", ""]
+    whole = [L.gram_counts(t) for t in texts]
+    for block in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(L, "_BLOCK_CHARS", block)
+        assert all((L.gram_counts(t) == w).all() for t, w in zip(texts, whole))
