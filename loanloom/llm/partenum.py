@@ -106,16 +106,19 @@ class PartEnum:
     def _scheme(self, value: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Signatures, with owners, of sets (sorted by owner and value) in one level."""
         parts = self.parts(level)
+        mixed = mix(value ^ self.seed)
         if level == 0:
             part = np.arange(len(value), dtype=np.int64)  # each feature alone
         else:
-            part = ((value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((mixed, owner))  # parts in a row, as each seed cuts the domain elsewhere
+            mixed, owner = mixed[order], owner[order]
+            part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         first = np.ones(len(value), bool)
         first[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(first)
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        sums = np.add.reduceat(mix(value ^ self.seed), at)
+        sums = np.add.reduceat(mixed, at)
         owner, part = owner[at], part[at]
         if level == 0 or self.pick == 1:
             names = sums if level == 0 else sums + part.astype(np.uint64) * _STEP

@@ -113,3 +113,11 @@ def test_similar_sets_share_enough_signatures(split, pick):
             level = scheme.level(np.array([len(large)]))[0]
             own = {s for s in sig[row == 0].tolist() if s & 31 == level}
             assert len(own & set(sig[row == 1].tolist())) >= met[0] - scheme.errors(np.array([len(large)]))[0] * scheme.spoilt
+
+
+@pytest.mark.parametrize("split,pick", [(2, 1), (4, 2)])
+def test_another_seed_cuts_a_clumped_set_elsewhere(split, pick):
+    clumped = np.arange(3000, dtype=np.uint64)  # all in one part of a domain cut by value
+    bounds = np.array([0, 3000])
+    met = [int(partenum.PartEnum(split=split, pick=pick, seed=seed).signatures(clumped, bounds)[2][0]) for seed in range(4)]
+    assert min(met) > 1000 and len(set(met)) > 1
