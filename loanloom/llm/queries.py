@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import scan_table
-from . import chunks, decontaminate, hamming, langid, partenum, secrets, shards, tokens, toxicity, warc
+from . import chunks, decontaminate, hamming, langid, partenum, secrets, shards, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pu_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate_documents(scan_table(spark, "documents", sf_dir), scan_table(spark, "labels", sf_dir))
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(scan_table(spark, "documents", sf_dir)).select("doc_id", "fingerprint", "component_id")
