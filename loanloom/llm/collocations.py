@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import materialized
 from .batches import mix
-from .vocab import WordBlocks, byte_table
+from .vocab import WordBlocks, byte_table, word_hashes
 
 TOP = 2000
 LEAST = 30
@@ -38,6 +38,7 @@ SCALE = 2_000_000
 COVERED = 80  # per cent of a phrase's occurrences that lie in a longer one
 REACH = 3
 FILTER_BITS = 1 << 24
+BLOCK_BYTES = 3 << 20
 STOPS = byte_table(0x21, 0x2C, 0x2E, 0x3A, 0x3B, 0x3F, (0x0A, 0x0D))  # ! , . : ; ? and line ends
 WORD = ~(STOPS | byte_table(0x20, 0x09))
 UNKNOWN = "und"
@@ -45,21 +46,19 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 Need = tuple[int, int, object]  # (first word, words, bit set as a broadcast): this part's hash is in the set
 
 
-def count_phrases(texts: DataFrame, n: int, needs: list[list[Need]] | None = None, size: int | None = None) -> DataFrame:
+def count_phrases(texts: DataFrame, n: int, needs: list[list[Need]] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, f, h): how often each phrase of ``n`` words occurs within pieces, and its hash.
 
     With ``needs`` only phrases for which all parts of one of the lists are in their sets.
     """
     def run(batches):
-        blocks = WordBlocks(WORD, STOPS, WORDS - 1, **({"size": size} if size else {}))
+        blocks = WordBlocks(WORD, STOPS, WORDS - 1, size)
         for block in blocks.of(batches):
             langs = block.rows.column("lang").dictionary_encode()
             lang = langs.indices.to_numpy().astype(np.int64)
             width = max(len(block.words), 1)
             kinds, word = np.unique(lang[block.row] * width + block.ids, return_inverse=True)
-            names, tongues = block.words.to_pylist(), [x.encode() + b"\0" for x in langs.dictionary.to_pylist()]
-            own = np.fromiter((xxhash.xxh64_intdigest(tongues[k // width] + names[k % width]) for k in kinds.tolist()), np.uint64, len(kinds))
-            single = own[word]
+            single = mix(word_hashes(block.words)[kinds % width] ^ _tongues(langs.dictionary)[kinds // width])[word]
 
             def hashed(at, length):
                 fold = single[at]
@@ -212,17 +211,19 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, reach: int
     return done.join(totals, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
 
 
+def _tongues(langs: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in langs.to_pylist()], np.uint64)
+
+
 def _hashed(phrases: DataFrame) -> DataFrame:
-    """Adds the hash ``h`` that counting gives to phrases (lang, phrase)."""
+    """Adds the hash ``h`` that counting gives to phrases (lang, phrase) of three words."""
     def run(batches):
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fold = None
-                for word in phrase.split(" "):
-                    one = np.array([xxhash.xxh64_intdigest(lang.encode() + b"\0" + word.encode())], np.uint64)
-                    fold = one if fold is None else mix(fold * _STEP + one)
-                out.append(int(fold.view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["lang", "phrase", "h"])
+            words = list(zip(*[x.split(" ") for x in batch.column(1).to_pylist()]))
+            tongue, fold = _tongues(batch.column(0)), None
+            for part in words:
+                one = mix(word_hashes(pa.array([w.encode() for w in part], pa.large_binary())) ^ tongue)
+                fold = one if fold is None else mix(fold * _STEP + one)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([] if fold is None else fold.view(np.int64), pa.int64())], ["lang", "phrase", "h"])
 
     return phrases.mapInArrow(run, "lang string, phrase string, h long")

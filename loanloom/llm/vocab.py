@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .batches import _LOWER, rows_of, slices
+from .batches import _BASE, _LOWER, _VALUES, _powers, mix, rows_of, slices
 
 BLOCK_BYTES = 4 << 20
 
@@ -108,3 +108,16 @@ class WordBlocks:
         kept = np.ascontiguousarray(_LOWER[data[word]])
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(marks), pa.py_buffer(kept)]).dictionary_encode()
         return Block(rows, row, coded.indices.to_numpy().astype(np.int64), coded.dictionary, breaks[starts], int(np.searchsorted(starts, limit)), again)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, none of which is empty."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    sums = np.add.reduceat(_VALUES[data] * _powers(_BASE, int(sizes.max()))[place], starts)
+    return mix(sums + sizes.astype(np.uint64) * np.uint64(_BASE))
