@@ -91,8 +91,10 @@ def count_phrases(texts: DataFrame, n: int, needs: list[list[Need]] | None = Non
                 langs.dictionary.take(pa.array(lang[block.row[at]])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(times),
                 pa.array(hashed(at, n).view(np.int64))], ["lang", "phrase", "f", "h"])
 
-    return texts.mapInArrow(run, "lang string, phrase string, f long, h long").groupBy("lang", "phrase").agg(
-        F.sum("f").alias("f"), F.max("h").alias("h"))
+    # a block has each phrase once, so blocks are what meets in one place; a second table of phrases in each
+    # task in front of the exchange would hold nearly as many rows again
+    found = texts.mapInArrow(run, "lang string, phrase string, f long, h long").repartition("lang", "phrase")
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.max("h").alias("h"))
 
 
 def bit_set(phrases: DataFrame, bits: int = FILTER_BITS):
