@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import replace
 
-from ..operators import cleaning, decisions, models
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators import cleaning, decisions, models, sampling
 from ..plans.standin import Views
 from ..sources.tables import materialized, new_path
 from .registry import query, rounded
@@ -76,42 +78,66 @@ def train_boosted(v: Views) -> DataFrame:
 _CHECKED = "SELECT count(*) AS n, TRUE AS in_range, TRUE AS balanced, TRUE AS ranks FROM app WHERE target IS NOT NULL"
 
 
-def _checked(v: Views, model, least_auc: float, by: str | None) -> DataFrame:
-    """One row: scores are probabilities, weighted errors sum to zero (overall or within each
-    score), and labelled rows are ranked better than ``least_auc``."""
+def _judged(v: Views, model) -> DataFrame:
     table = models.model_table(v.app, INPUTS)
-    scored = models.score_table(model, v.app.filter("target IS NOT NULL"), INPUTS).join(
+    return models.score_table(model, v.app.filter("target IS NOT NULL"), INPUTS).join(
         table.select("sk_id_curr", models.LABEL, models.WEIGHT), "sk_id_curr")
-    error = F.abs(F.sum(F.col(models.WEIGHT) * (F.col("proba") - F.col(models.LABEL))))
-    if by is None:
-        balanced = F.lit(True)
-    else:
-        groups = scored.groupBy(*([F.round("proba", 9)] if by == "leaf" else [])).agg(error.alias("e"))
-        balanced = F.lit(groups.agg(F.max("e") < 0.01).first()[0])
+
+
+def _checked(scored: DataFrame, balanced: bool, least_auc: float) -> DataFrame:
+    """One row: scores are probabilities, errors balance, and labelled rows are ranked better than ``least_auc``."""
     auc = models.roc_auc(scored, models.LABEL, "proba").first()[0]
     return scored.agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col("proba").between(0, 1)).alias("in_range"),
-        F.bool_and(balanced).alias("balanced"), F.lit(bool(auc > least_auc)).alias("ranks"))
+        F.lit(bool(balanced)).alias("balanced"), F.lit(bool(auc > least_auc)).alias("ranks"))
+
+
+def _error() -> Column:
+    return F.sum(F.col(models.WEIGHT) * (F.col("proba") - F.col(models.LABEL)))
 
 
 @query("check_logistic", _CHECKED)
 def check_logistic(v: Views) -> DataFrame:
-    return _checked(v, models.train_logistic(v.app, INPUTS), 0.6, "all")
+    """Weighted errors sum to zero, as the intercept is not penalised."""
+    scored = _judged(v, models.train_logistic(v.app, INPUTS))
+    return _checked(scored, scored.agg(F.abs(_error()) < 0.01).first()[0], 0.6)
 
 
 @query("check_tree", _CHECKED)
 def check_tree(v: Views) -> DataFrame:
-    return _checked(v, models.train_tree(v.app, INPUTS, maxDepth=7), 0.7, "leaf")
+    """Weighted errors sum to zero in each leaf."""
+    scored = _judged(v, models.train_tree(v.app, INPUTS, maxDepth=7))
+    leaves = scored.groupBy(F.round("proba", 9)).agg(F.abs(_error()).alias("e"))
+    return _checked(scored, leaves.agg(F.max("e") < 0.01).first()[0], 0.7)
 
 
 @query("check_forest", _CHECKED)
 def check_forest(v: Views) -> DataFrame:
-    return _checked(v, models.train_forest(v.app, INPUTS), 0.7, None)
+    """Weighted errors of all rows nearly cancel: each tree is balanced over its own resample only."""
+    scored = _judged(v, models.train_forest(v.app, INPUTS))
+    share = F.abs(_error()) / F.sum(models.WEIGHT)
+    return _checked(scored, scored.agg(share < 0.05).first()[0], 0.7)
 
 
-@query("check_boosted", _CHECKED)
+@query("check_boosted", """
+    SELECT count(*) AS n, TRUE AS in_range, TRUE AS balanced, TRUE AS ranks, TRUE AS stopped, TRUE AS leaves_add_up FROM app WHERE target IS NOT NULL""")
 def check_boosted(v: Views) -> DataFrame:
-    return _checked(v, models.train_boosted(v.app, INPUTS), 0.6, None)
+    """``balanced``: each leaf of the first tree has the Newton step of its learning rows. ``stopped``: trees end at the
+    smallest loss, after which patience ran out or the rounds did. ``leaves_add_up``: every tree's leaves hold all learning rows."""
+    model = models.train_boosted(v.app, INPUTS)
+    first = replace(model, trees=model.trees[:1])
+    parts = sampling.stratified_split(models.model_table(v.app, INPUTS), "sk_id_curr", models.LABEL, {"train": 0.75, "validation": 0.25}, models.SEED)
+    learned = parts.filter("split = 'train'").select("sk_id_curr", models.LABEL, models.WEIGHT)
+    leaves = materialized(models.score_table(first, v.app, INPUTS).join(learned, "sk_id_curr"), "first-tree")
+    p, w = 1 / (1 + F.exp(F.lit(-model.base))), F.col(models.WEIGHT)
+    step = model.settings.rate * F.try_divide(F.sum(w * (F.col(models.LABEL) - p)), F.sum(w * p * (1 - p)))
+    right = leaves.groupBy(F.round("proba", 9)).agg(F.abs(F.avg("proba") - 1 / (1 + F.exp(-(model.base + step)))).alias("e"))
+    balanced = not first.trees or right.agg(F.max("e") < 1e-4).first()[0]
+    best = min(model.losses) == model.losses[len(model.trees)] and len(model.losses) == model.grown + 1
+    spent = model.grown - len(model.trees) == model.settings.patience or model.grown == model.settings.rounds or model.grown == 1
+    rows = leaves.count()
+    adds = all(sum(n for n, f in zip(t.rows, t.feature) if f < 0) == rows and t.feature.count(-1) <= model.settings.leaves for t in model.trees)
+    return _checked(_judged(v, model), balanced, 0.6).withColumn("stopped", F.lit(bool(best and spent))).withColumn("leaves_add_up", F.lit(bool(adds)))
 
 
 @query("model_to_profit", """
@@ -187,20 +213,51 @@ def blend(v: Views) -> DataFrame:
     return rounded(models.blend(v.app, INPUTS))
 
 
+_LAST_FIFTH = """
+    SELECT CAST(sum(k) AS BIGINT) AS n, TRUE AS in_range, TRUE AS ranks, {} FROM (
+      SELECT count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS k FROM app WHERE target IS NOT NULL GROUP BY target)"""
+
+
+def _ensemble(scored: DataFrame, names: list[str], least_auc: float, **checks) -> DataFrame:
+    """One row: scores are probabilities, and each ranks the kept-out rows better than ``least_auc``."""
+    scored = materialized(scored, "ensemble")
+    ranks = all(models.roc_auc(scored, "target", n).first()[0] > least_auc for n in names)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.array_min(F.array(*[F.col(n).between(0, 1) for n in names]))).alias("in_range"),
+        F.lit(bool(ranks)).alias("ranks"), *[F.bool_and(c).alias(n) for n, c in checks.items()])
+
+
+@query("check_blend", _LAST_FIFTH.format("TRUE AS averaged"))
+def check_blend(v: Views) -> DataFrame:
+    """Blending at full size; ``averaged``: bagging is the mean of the two bases."""
+    gap = F.abs(F.col("bagging") - (F.col("base_rf") + F.col("base_boosted")) / 2) < 1e-9
+    return _ensemble(models.blend(v.app, INPUTS), ["base_rf", "base_boosted", "blending", "bagging"], 0.55, averaged=gap)
+
+
+@query("check_stack", _LAST_FIFTH.format("TRUE AS rises"))
+def check_stack(v: Views) -> DataFrame:
+    """Stacking at full size; ``rises``: the meta-model's score is the same logistic function of both bases in all rows."""
+    scored = materialized(models.stack_oof(v.app, INPUTS), "stacked")
+    odds = F.log(F.col("stacking") / (1 - F.col("stacking")))
+    cov = scored.select("base_rf", "base_boosted", odds.alias("odds")).agg(*[
+        F.covar_pop(a, b).alias(n) for n, a, b in (("xx", "base_rf", "base_rf"), ("yy", "base_boosted", "base_boosted"), ("xy", "base_rf", "base_boosted"),
+                                                   ("xo", "base_rf", "odds"), ("yo", "base_boosted", "odds"))], *[
+        F.avg(c).alias(n) for n, c in (("x", "base_rf"), ("y", "base_boosted"), ("o", "odds"))]).first()
+    det = cov.xx * cov.yy - cov.xy ** 2
+    a, b = (cov.xo * cov.yy - cov.yo * cov.xy) / det, (cov.yo * cov.xx - cov.xo * cov.xy) / det
+    line = cov.o + a * (F.col("base_rf") - cov.x) + b * (F.col("base_boosted") - cov.y)
+    return _ensemble(scored, ["base_rf", "base_boosted", "stacking"], 0.55, rises=(F.abs(odds - line) < 1e-6) & F.lit(a + b > 0))
+
+
 @query("bag_average", "SELECT sk_id_curr, round((proba_a + proba_b) / 2, 6) AS bagging FROM scored")
 def bag_average(v: Views) -> DataFrame:
     scored = v.scored.select("sk_id_curr", "proba_a", "proba_b")
     return rounded(models.bag_average(scored, ["proba_a", "proba_b"]).drop("proba_a", "proba_b"), 6)
 
 
-def _small_bases() -> dict[str, object]:
-    """Six fits of each base in full size take minutes even on small tables; the operator's defaults are full."""
-    return {"base_rf": models.forest(numTrees=30, maxDepth=6), "base_boosted": models.boosted(maxIter=15, maxDepth=4)}
-
-
 @query("stack_oof")
 def stack_oof(v: Views) -> DataFrame:
-    return rounded(models.stack_oof(v.app, INPUTS, _small_bases()))
+    return rounded(models.stack_oof(v.app, INPUTS))
 
 
 @query("feature_importance")

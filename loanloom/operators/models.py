@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,11 +13,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.core import col
 from .cleaning import MISSING_NUMBER, MISSING_TEXT
 from ..sources.tables import materialized
+from . import boosting
+from .boosting import BoostedModel, Settings, Task
 from .lookup import GROUP_ROWS, attach_lookup
 from .ordered import running_totals
 from .sampling import stratified_folds, stratified_split
@@ -27,6 +29,8 @@ SEED = 123
 # Settings of the base and meta models of the stacked ensemble.
 FOREST = {"numTrees": 100, "maxDepth": 9, "minInstancesPerNode": 10}
 BOOSTED = {"maxIter": 100, "maxDepth": 8, "minInstancesPerNode": 10}
+STAGED = {"rounds": 100, "depth": 8, "least_rows": 10}
+PATIENCE = {"train": 20, "blend": 50}
 META = {"maxIter": 150, "C": 5.0}
 
 
@@ -131,13 +135,23 @@ def train_forest(df: DataFrame, inputs: Inputs, **params) -> PipelineModel:
     return Pipeline(stages=[*encoding_stages(inputs), forest(**params)]).fit(model_table(df, inputs))
 
 
-def train_boosted(df: DataFrame, inputs: Inputs, validation: float = 0.25, **params) -> PipelineModel:
-    """Boosted trees that stop when a stratified validation part no longer improves.
+def train_boosted(df: DataFrame, inputs: Inputs, validation: float = 0.25, patience: int = PATIENCE["train"], **settings) -> BoostedModel:
+    """Second-order boosted trees (``boosting.Settings``) that end when a stratified validation part no longer improves.
 
-    Categories stay single indexed columns, which the trees split natively.
+    They keep the trees up to the round of the smallest validation loss, after which
+    ``patience`` rounds brought none smaller. Categories are split natively.
     """
     parts = {"train": 1 - validation, "validation": validation}
     table = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, parts, SEED)
+    table = table.withColumn("part", (F.col("split") == "validation").cast("int"))
+    task = Task(Settings(**{**STAGED, "patience": patience, **settings}), held=frozenset([1]))
+    return boosting.grow(table, inputs.numeric, inputs.categorical, [task], LABEL, WEIGHT, "part")[0]
+
+
+def train_boosted_mllib(df: DataFrame, inputs: Inputs, validation: float = 0.25, **params) -> PipelineModel:
+    """MLlib's first-order boosted trees, which end at the first round that gains less than the tolerance on a validation part."""
+    parts = {"train": 1 - validation, "validation": validation}
+    table = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, parts, SEED)
     table = table.withColumn("held_out", F.col("split") == "validation").drop("split")
     encoder = Pipeline(stages=encoding_stages(inputs, expand=False)).fit(table)
     learner = boosted(validationIndicatorCol="held_out", **{"maxBins": bins_for(encoder), "validationTol": 1e-5, **params})
@@ -156,9 +170,12 @@ def positive_score(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
 
-def score_table(model: PipelineModel, df: DataFrame, inputs: Inputs, name: str = "proba") -> DataFrame:
+def score_table(model: PipelineModel | BoostedModel, df: DataFrame, inputs: Inputs, name: str = "proba") -> DataFrame:
     """``(id, proba)``: default probability of every row."""
-    scored = model.transform(model_table(df, inputs, labelled=False))
+    table = model_table(df, inputs, labelled=False)
+    if isinstance(model, BoostedModel):
+        return model.score(table, name).select(inputs.id_col, name)
+    scored = model.transform(table)
     return scored.select(inputs.id_col, positive_score().alias(name))
 
 
@@ -404,29 +421,36 @@ def _fit_all(bases: dict[str, object], train: DataFrame) -> dict[str, object]:
 
 
 def default_bases() -> dict[str, object]:
-    return {"base_rf": forest(), "base_boosted": boosted()}
+    """Learners of MLlib fit on encoded vectors; ``Settings`` are boosted trees over bins."""
+    return {"base_rf": forest(), "base_boosted": Settings(**STAGED)}
+
+
+def _staged(bases: dict[str, object]) -> tuple[dict[str, object], dict[str, Settings]]:
+    return ({n: b for n, b in bases.items() if not isinstance(b, Settings)}, {n: b for n, b in bases.items() if isinstance(b, Settings)})
 
 
 def blend(
     df: DataFrame, inputs: Inputs, bases: dict[str, object] | None = None,
-    meta: dict | None = None, seed: int = SEED,
+    meta: dict | None = None, seed: int = SEED, patience: int = PATIENCE["blend"],
 ) -> DataFrame:
     """Test-part scores of the bases, the blended meta-model and their plain average.
 
-    Bases learn on the 60 % train part; their scores on the 20 % validation part
-    train the meta-model, which is applied to the 20 % test part.
+    Bases learn on the 60 % train part, boosted ones with ``patience`` rounds on the
+    validation part; scores on the 20 % validation part train the meta-model, which is
+    applied to the 20 % test part.
     """
     bases, meta = bases or default_bases(), {**META, **(meta or {})}
+    fitted, staged = _staged(bases)
     parts = stratified_split(
         model_table(df, inputs), inputs.id_col, LABEL, {"train": 0.6, "validation": 0.2, "test": 0.2}, seed
     )
-    parts = materialized(parts, "blend")
-    train = parts.filter(F.col("split") == "train")
-    encoder = Pipeline(stages=encoding_stages(inputs)).fit(train)
-    encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES)
-    train = encoded.filter(F.col("split") == "train")
-    models = _fit_all(bases, train)
-    names, keep = list(models), [inputs.id_col, LABEL]
+    parts = materialized(parts.withColumn("part", F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)), "blend")
+    tasks = [Task(replace(s, patience=s.patience or patience), frozenset([1]), frozenset([2])) for s in staged.values()]
+    grown = dict(zip(staged, boosting.grow(parts, inputs.numeric, inputs.categorical, tasks, LABEL, WEIGHT, "part"))) if staged else {}
+    encoder = Pipeline(stages=encoding_stages(inputs)).fit(parts.filter(F.col("split") == "train"))
+    encoded = encoder.transform(boosting.scored(parts, grown)).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES, *grown)
+    models = _fit_all(fitted, encoded.filter(F.col("split") == "train").drop(*grown)) if fitted else {}
+    names, keep = list(bases), [inputs.id_col, LABEL, *grown]
     held = _with_scores(models, encoded.filter(F.col("split") == "validation"), keep)
     final = _fit_meta(held, names, meta["C"], meta["maxIter"])
     test = _with_scores(models, encoded.filter(F.col("split") == "test"), keep)
@@ -441,30 +465,35 @@ def stack_oof(
     """Validation-part scores of a stacked ensemble.
 
     Out-of-fold base scores on the 80 % train part teach the meta-model; the
-    bases are then refitted on that whole part.
+    bases are then refitted on that whole part. The boosted models of all folds and the
+    refitted one grow in step over one table.
     """
     bases, meta = bases or default_bases(), {**META, **(meta or {})}
+    fitted, staged = _staged(bases)
     parts = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, {"train": 0.8, "validation": 0.2}, seed)
-    parts = materialized(parts, "stack")
-    train = parts.filter(F.col("split") == "train")
-    encoder = Pipeline(stages=encoding_stages(inputs)).fit(train)
-    encoded = encoder.transform(parts).select(inputs.id_col, LABEL, WEIGHT, "split", FEATURES)
-    train = stratified_folds(encoded.filter(F.col("split") == "train"), inputs.id_col, LABEL, k, seed).persist()
-    names, keep = list(bases), [inputs.id_col, LABEL]
+    folds = stratified_folds(parts.filter(F.col("split") == "train"), inputs.id_col, LABEL, k, seed)
+    parts = materialized(folds.unionByName(parts.filter(F.col("split") == "validation").withColumn("fold", F.lit(k))), "stack")
+    inside = [frozenset([i, k]) for i in range(k)] + [frozenset([k])]
+    grown = boosting.grow(
+        parts, inputs.numeric, inputs.categorical, [Task(s, unused=away) for s in staged.values() for away in inside], LABEL, WEIGHT, "fold")
+    by_fold = {f"_{name}_{i}": grown[j * (k + 1) + i] for j, name in enumerate(staged) for i in range(k + 1)}
+    scored = boosting.scored(parts, by_fold)
+    for name in staged:  # a row's score is from the model that did not see it
+        scored = scored.withColumn(name, F.element_at(F.array(*[F.col(f"_{name}_{i}") for i in range(k + 1)]), F.col("fold") + 1))
+    encoder = Pipeline(stages=encoding_stages(inputs)).fit(parts.filter(F.col("split") == "train"))
+    encoded = materialized(encoder.transform(scored).select(inputs.id_col, LABEL, WEIGHT, "fold", FEATURES, *staged), "encoded")
+    names, keep = list(bases), [inputs.id_col, LABEL, *staged]
 
     def out_of_fold(i: int) -> DataFrame:
-        rest, part = train.filter(F.col("fold") != i), train.filter(F.col("fold") == i)
-        return _with_scores(_fit_all(bases, rest), part, keep)
+        rest, part = encoded.filter(~F.col("fold").isin(i, k)), encoded.filter(F.col("fold") == i)
+        return _with_scores(_fit_all(fitted, rest), part, keep) if fitted else part.select(*keep)
 
-    with ThreadPool(min(k, 4)) as pool:
-        scored = pool.map(out_of_fold, range(k))
-    oof = scored[0]
-    for part in scored[1:]:
+    with ThreadPool(min(k + 1, 6)) as pool:
+        *scores, held = pool.map(out_of_fold, range(k + 1))
+    oof = scores[0]
+    for part in scores[1:]:
         oof = oof.unionByName(part)
     final = _fit_meta(oof, names, meta["C"], meta["maxIter"])
-    models = _fit_all(bases, train)
-    train.unpersist()
-    held = _with_scores(models, encoded.filter(F.col("split") == "validation"), keep)
     out = _apply_meta(final, held, names, "stacking")
     return out.select(inputs.id_col, F.col(LABEL).cast("int").alias("target"), *names, "stacking")
 
@@ -478,13 +507,16 @@ def feature_names(transformed: DataFrame, column: str = FEATURES) -> list[str]:
     return [a.get("name", str(a["idx"])) for a in entries]
 
 
-def feature_importance(model: PipelineModel, table: DataFrame, top: int = 100) -> DataFrame:
+def feature_importance(model: PipelineModel | BoostedModel, table: DataFrame, top: int = 100) -> DataFrame:
     """``(feature, importance)`` of the largest tree importances or linear coefficients."""
-    last = model.stages[-1]
-    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    # the encoders name the entries; no rows are needed for that
-    named = feature_names(PipelineModel(stages=model.stages[:-1]).transform(table.limit(0)))
-    rows = [(n, float(v)) for n, v in zip(named, values.toArray())]
+    if isinstance(model, BoostedModel):
+        rows = list(model.importance.items())
+    else:
+        last = model.stages[-1]
+        values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+        # the encoders name the entries; no rows are needed for that
+        named = feature_names(PipelineModel(stages=model.stages[:-1]).transform(table.limit(0)))
+        rows = [(n, float(v)) for n, v in zip(named, values.toArray())]
     out = table.sparkSession.createDataFrame(rows, "feature string, importance double")
     return out.orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -501,11 +533,18 @@ def fitted_source_weights(df: DataFrame, inputs: Inputs, digits: int = 2, **para
 
 # ---- from a model to decisions -------------------------------------------------
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """Write a fitted pipeline, encoders included, to a folder that all machines share."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedModel, path: str) -> str:
+    """Write a fitted model, encoders included, to a folder that all machines share."""
+    if isinstance(model, BoostedModel):
+        spark = SparkSession.active()
+        spark.createDataFrame([(model.text(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str, kind: str = "pipeline") -> PipelineModel | BoostedModel:
+    """A model that was written; ``kind`` is ``pipeline`` or ``boosted``."""
+    if kind == "boosted":
+        return BoostedModel.of_text(SparkSession.active().read.parquet(path).first()["model"])
     return PipelineModel.load(path)

@@ -62,7 +62,7 @@ def test_balanced_weights(people):
 @pytest.mark.parametrize("train", [
     lambda d: models.train_logistic(d, INPUTS), lambda d: models.train_tree(d, INPUTS, maxDepth=4),
     lambda d: models.train_forest(d, INPUTS, numTrees=10, maxDepth=4),
-    lambda d: models.train_boosted(d, INPUTS, maxIter=5, maxDepth=3)])
+    lambda d: models.train_boosted_mllib(d, INPUTS, maxIter=5, maxDepth=3)])
 def test_learners_rank_better_than_chance(people, train, tmp_path):
     from pyspark.ml import PipelineModel
 
