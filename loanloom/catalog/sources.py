@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import bureau, cleaning
-from ..operators.lookup import spread
+from ..operators.lookup import dealt
 from ..plans.standin import Views, columns
 from ..sources import logs, tables
 from .registry import query
@@ -108,7 +108,7 @@ def credit_lines(bur: DataFrame) -> DataFrame:
         (F.col("days_credit") + 10).alias("DAYS_CREDIT_UPDATE"), amounts.alias("AmtCredit"),
     )
     data = F.struct(F.col("credit_type").alias("CREDIT_TYPE"), record.alias("record"))
-    return spread(bur, "sk_id_bureau").select(F.to_json(F.struct(F.lit(logs.BUREAU).alias("type"), data.alias("data"))).alias("value"))
+    return dealt(bur).select(F.to_json(F.struct(F.lit(logs.BUREAU).alias("type"), data.alias("data"))).alias("value"))
 
 
 def balance_lines(pos: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def balance_lines(pos: DataFrame) -> DataFrame:
         )
 
     data = F.struct(F.col("cnt_instalment").alias("CNT_INSTALMENT"), F.array(record(0), record(1)).alias("records"))
-    return spread(pos, "sk_id_prev", "months_balance").select(F.to_json(F.struct(F.lit(logs.POSCASH).alias("type"), data.alias("data"))).alias("value"))
+    return dealt(pos).select(F.to_json(F.struct(F.lit(logs.POSCASH).alias("type"), data.alias("data"))).alias("value"))
 
 
 @query("log_scan_route", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.special import log_cdf_texts
 from ..operators import cards, sampling, stats
 from ..operators.sampling import MIXER, POISSON_CDF, WORD
 from ..plans import selection
@@ -72,7 +73,20 @@ def mann_whitney(v: Views) -> DataFrame:
     return rounded(stats.mann_whitney(v.app, TESTED).select("feature", "u_stat", "z_stat", "significant"))
 
 
-@query("anderson_darling")
+_MOST, _LEAST = log_cdf_texts("a", "q")
+
+
+@query("anderson_darling", " UNION ALL ".join(f"""
+    SELECT '{c}' AS feature, target, n AS rows, round(CASE WHEN n < 42 THEN 0 ELSE a2 END, 4) AS a2_stat,
+      CASE WHEN n < 42 THEN 0 ELSE critical END AS critical, n < 42 AS skipped, n < 42 OR a2 <= critical AS normal
+    FROM (SELECT target, n, -n - sum((2 * i - 1) * (CASE WHEN z >= 0 THEN most ELSE least_ END)
+          + (2 * (n - i) + 1) * (CASE WHEN z >= 0 THEN least_ ELSE most END)) / n AS a2,
+        round(1.092 / (1 + 4.0::DOUBLE / n - 25.0::DOUBLE / (n * n)), 3) AS critical
+      FROM (SELECT *, {_MOST} AS most, {_LEAST} AS least_ FROM (SELECT *, abs(z) AS a, z * z AS q FROM (
+        SELECT x.target, n, row_number() OVER (PARTITION BY x.target ORDER BY v) AS i, (v - mean) / sd AS z
+        FROM (SELECT target, CAST({c} AS DOUBLE) AS v FROM app WHERE target IS NOT NULL AND {c} IS NOT NULL) x
+        JOIN (SELECT target, avg({c}) AS mean, stddev_samp({c}) AS sd, count({c}) AS n FROM app GROUP BY 1) m ON m.target = x.target)))
+      GROUP BY target, n)""" for c in TESTED))
 def anderson_darling(v: Views) -> DataFrame:
     return rounded(stats.anderson_darling(v.app, TESTED))
 

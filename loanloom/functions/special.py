@@ -1,7 +1,7 @@
 """Tail probabilities of the normal, Student and chi-squared distributions.
 
-Spark has no ``erf``; these numpy helpers run inside pandas UDFs, on distinct
-values or on one row per feature.
+Spark has no ``erf``: the normal distribution that a test needs for every distinct value
+is column arithmetic; the helpers inside pandas UDFs see one row per feature.
 """
 
 from __future__ import annotations
@@ -14,25 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _erfc(x: np.ndarray) -> np.ndarray:
-    return np.fromiter(map(math.erfc, x), float, len(x))
+_NEAR = 2.5  # up to here a power series, beyond a continued fraction
+_LOG_ROOT = "0.9189385332046727e0"  # ln(sqrt(2 pi))
 
 
-def log_normal_cdf(z: np.ndarray) -> np.ndarray:
-    """ln of the standard normal distribution function, also far in the left tail."""
-    z = np.asarray(z, dtype=float)
-    near = np.maximum(z, -25.0)
-    out = np.log(0.5 * _erfc(-near / math.sqrt(2)))
-    far = z < -25.0
-    if far.any():
-        t = z[far]
-        series = 1 - 1 / t**2 + 3 / t**4 - 15 / t**6
-        out[far] = -(t**2) / 2 - np.log(-t) - 0.5 * math.log(2 * math.pi) + np.log(series)
-    # ln(1 - tail) keeps its digits on the right side
-    right = z > 5.0
-    if right.any():
-        out[right] = np.log1p(-0.5 * _erfc(z[right] / math.sqrt(2)))
-    return out
+def log_cdf_texts(a: str, q: str) -> tuple[str, str]:
+    """SQL texts of ln P(Z <= a) and ln P(Z > a) for a >= 0; ``q`` names a squared.
+
+    Plain arithmetic that Spark and DuckDB both take: the series a * (1 + q/3 * (1 + q/5 *
+    ...)) of the distribution around 0, and the fraction a + 1/(a + 2/(a + ...)) of the tail.
+    """
+    near, far = f"least({q}, {_NEAR * _NEAR}e0)", f"greatest({a}, {_NEAR}e0)"
+    series = "1e0"
+    for k in range(32, 0, -1):
+        series = f"(1e0 + {near} / {2 * k + 1}e0 * {series})"
+    fraction = far
+    for k in range(40, 0, -1):
+        fraction = f"({far} + {k}e0 / {fraction})"
+    middle = f"({a} * exp(-{near} / 2e0 - {_LOG_ROOT}) * {series})"
+    tail = f"(-{q} / 2e0 - {_LOG_ROOT} - ln({fraction}))"
+    return (f"CASE WHEN {a} <= {_NEAR}e0 THEN ln(0.5e0 + {middle}) ELSE ln(1e0 - exp({tail})) END",
+            f"CASE WHEN {a} <= {_NEAR}e0 THEN ln(0.5e0 - {middle}) ELSE {tail} END")
 
 
 def two_sided_normal(z: float) -> float:
@@ -109,11 +111,6 @@ def _each(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(map(math.isnan, r)) else fn(*r) for r in rows], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def log_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(log_normal_cdf(z.to_numpy(dtype=float)))
-
-
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _each(two_sided_normal, z)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.core import col
 
 LOOKUP_ROWS = 20_000  # largest table that may be broadcast
+SPLIT_BYTES = 128 << 20  # read by a task
 GROUP_ROWS = 500_000  # largest group that one task may sort or keep as value counts
 
 
@@ -40,11 +41,15 @@ def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str =
     return df.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Even out the rows of a frame over all tasks, for work that is heavy per row."""
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small frame out to all tasks in turn, for work that is heavy per row.
+
+    A frame that is estimated to be read by a task per core already stays as it is.
+    """
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, *columns)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(parts) if size < parts * SPLIT_BYTES else df
 
 
 def split_by_size(

@@ -14,25 +14,28 @@ NEAR_UNIQUE = 0.8  # twelve standard errors below full uniqueness
 def unique_columns(tables: dict[str, DataFrame]) -> DataFrame:
     """Per table and column: rows, missing values, and whether it could be a key.
 
-    One sketch pass per table rules out columns that are far from unique; only
-    the remaining candidates are counted exactly.
+    Two jobs for all tables together. A sketch pass rules out columns that are far from
+    unique; each column left is then grouped by itself, and one repeated value refutes it.
     """
-    out = []
+    sketches = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[
+            F.struct(F.count(col(c)).alias("known"), F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(col(c)), SKETCH_BITS)).alias("distinct")).alias(f"_{i}")
+            for i, c in enumerate(df.columns)])
+        one = row.select(F.lit(name).alias("table"), "n", F.array(*[f"_{i}" for i in range(len(df.columns))]).alias("columns"))
+        sketches = one if sketches is None else sketches.unionByName(one)
+    found = {r["table"]: r for r in sketches.collect()}
+    repeated = None
     for name, df in tables.items():
-        row = df.agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.count(col(c)).alias(f"n_{c}") for c in df.columns],
-            *[
-                F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(col(c)), SKETCH_BITS)).alias(f"d_{c}")
-                for c in df.columns
-            ],
-        ).first()
-        total = row["_rows"]
-        candidates = [c for c in df.columns if row[f"n_{c}"] == total and row[f"d_{c}"] >= NEAR_UNIQUE * total]
-        exact = df.agg(*[F.count_distinct(col(c)).alias(c) for c in candidates]).first() if candidates else {}
-        for c in df.columns:
-            unique = c in candidates and exact[c] == total
-            out.append((name, c, total, total - row[f"n_{c}"], unique))
+        row = found[name]
+        for c, x in zip(df.columns, row["columns"]):
+            if x["known"] == row["n"] and x["distinct"] >= NEAR_UNIQUE * row["n"]:
+                twice = df.groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+                one = twice.agg(F.count(F.lit(1)).alias("values")).select(F.lit(name).alias("table"), F.lit(c).alias("column"), "values")
+                repeated = one if repeated is None else repeated.unionByName(one)
+    keys = {(r["table"], r["column"]) for r in repeated.collect() if not r["values"]} if repeated is not None else set()
+    out = [(name, c, found[name]["n"], found[name]["n"] - x["known"], (name, c) in keys)
+           for name, df in tables.items() for c, x in zip(df.columns, found[name]["columns"])]
     spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(
         out, "table_name string, column_name string, n_rows long, n_missing long, is_unique boolean"

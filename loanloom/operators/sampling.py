@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import col, hash_word
-from .lookup import attach_lookup, spread
+from .lookup import attach_lookup, dealt
 
 WORD = 1 << 32
 BINS = 1 << 18
@@ -169,23 +169,23 @@ def resample(df: DataFrame, id_col: str, by: str | None = None, seed: int = 123)
 
 
 def bootstrap_sums(
-    df: DataFrame, id_col: str, group: str, columns: list[str], iterations: int, seed: int = 123
+    df: DataFrame, id_col: str, group: str, columns: list[str], iterations: int, seed: int | list[int] = 123
 ) -> DataFrame:
     """``(grp, feature, iter, sw, swx)``: weighted count and sum of every resample.
 
     Each task turns its rows into ``iterations`` weighted sums per group and
     feature, so what is shuffled does not grow with the table. All features
-    share the weights of a row.
+    share the weights of a row, unless each has a seed of its own. Rows stay in the task
+    that read them; only tables too small for a task per core are dealt out first, in
+    turn, so no id gathers in one place.
     """
-    source = df.filter(col(group).isNotNull()).select(
-        hash_word(id_col, seed, 0).alias("_a"),
-        hash_word(id_col, seed, 1).alias("_b"),
+    seeds = [seed] * len(columns) if isinstance(seed, int) else list(seed)
+    kinds = {s: [j for j, t in enumerate(seeds) if t == s] for s in dict.fromkeys(seeds)}
+    source = dealt(df.filter(col(group).isNotNull()).select(
         col(group).cast("string").alias("_grp"),
+        *[hash_word(id_col, s, word).alias(f"_{word}_{s}") for s in kinds for word in (0, 1)],
         *[col(c).cast("double").alias(c) for c in columns],
-    )
-    # the work is rows x iterations, far more than moving these narrow rows, so
-    # they are spread evenly first
-    source = spread(source, "_a")
+    ))
     block = 50
     held_cells = 10_000_000
 
@@ -204,21 +204,22 @@ def bootstrap_sums(
             for start in range(0, len(pdf), 20_000):
                 part = pdf.iloc[start:start + 20_000]
                 for name, rows_of in part.groupby("_grp", sort=False):
-                    x = rows_of[columns].to_numpy(dtype=float)
-                    known = (~np.isnan(x)).astype(float)
-                    ends = [(end, (x == end).astype(float)) for end in (np.inf, -np.inf) if (x == end).any()]
-                    x = np.where(np.isfinite(x), x, 0.0)
-                    a = rows_of["_a"].to_numpy().astype(np.uint64)
-                    b = rows_of["_b"].to_numpy().astype(np.uint64)
+                    whole = rows_of[columns].to_numpy(dtype=float)
                     acc = sums.setdefault(name, np.zeros((iterations, len(columns), 2)))
-                    for lo in range(0, iterations, block):
-                        its = np.arange(lo, min(lo + block, iterations), dtype=np.uint64)
-                        w = poisson_weights(a, b, its)
-                        acc[lo:lo + len(its), :, 0] += w @ known
-                        acc[lo:lo + len(its), :, 1] += w @ x
-                        # an infinite value counts only where it was drawn
-                        for end, where in ends:
-                            acc[lo:lo + len(its), :, 1] += np.where(w @ where > 0, end, 0.0)
+                    for s, places in kinds.items():
+                        x = whole[:, places]
+                        known = (~np.isnan(x)).astype(float)
+                        ends = [(end, (x == end).astype(float)) for end in (np.inf, -np.inf) if (x == end).any()]
+                        x = np.where(np.isfinite(x), x, 0.0)
+                        a, b = (rows_of[f"_{word}_{s}"].to_numpy().astype(np.uint64) for word in (0, 1))
+                        for lo in range(0, iterations, block):
+                            its = np.arange(lo, min(lo + block, iterations), dtype=np.uint64)
+                            w = poisson_weights(a, b, its)
+                            acc[lo:lo + len(its), places, 0] += w @ known
+                            acc[lo:lo + len(its), places, 1] += w @ x
+                            # an infinite value counts only where it was drawn
+                            for end, where in ends:
+                                acc[lo:lo + len(its), places, 1] += np.where(w @ where > 0, end, 0.0)
                 if len(sums) * iterations * len(columns) > held_cells:
                     yield from rows(sums)
                     sums = {}

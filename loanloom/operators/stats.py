@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 from ..functions.core import col, settled
-from .lookup import GROUP_ROWS, attach_lookup
+from .lookup import GROUP_ROWS, small_or_lazy
 from .ordered import average_ranks, exact_quantiles, running_totals, to_long
 from .sampling import bootstrap_means
 
@@ -104,18 +104,22 @@ def anderson_darling(
     moments = long.groupBy(*group).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("rows")
     )
+    moments, small = small_or_lazy(moments)
     rows = df.count()
     totals = running_totals(counted, group, "value", ["n"], long if rows > GROUP_ROWS else None, rows, GROUP_ROWS)
-    ranked = attach_lookup(totals, moments, group)
-    z = F.try_divide(F.col("value") - F.col("mean"), F.col("sd"))
+    ranked = totals.join(F.broadcast(moments) if small else moments, group, "left")
+    ranked = ranked.withColumn("_z", F.try_divide(F.col("value") - F.col("mean"), F.col("sd")))
+    ranked = ranked.withColumn("_a", F.abs("_z")).withColumn("_q", F.col("_z") * F.col("_z"))
+    most, least = (F.expr(text) for text in special.log_cdf_texts("_a", "_q"))
+    right = F.col("_z") >= 0
     low = F.col("n_before").cast("double")
     high = low + F.col("n")
     size = F.col("n_all").cast("double")
-    term = (high * high - low * low) * special.log_cdf(z) + (
+    ranked = ranked.filter(F.col("sd") > 0).withColumn("_most", most).withColumn("_least", least)
+    term = (high * high - low * low) * F.when(right, F.col("_most")).otherwise(F.col("_least")) + (
         (size - low) * (size - low) - (size - high) * (size - high)
-    ) * special.log_cdf(-z)
-    known = ranked.filter(F.col("sd") > 0)
-    found = known.withColumn("_term", term).groupBy(*group).agg(F.sum("_term").alias("_sum"))
+    ) * F.when(right, F.col("_least")).otherwise(F.col("_most"))
+    found = ranked.withColumn("_term", term).groupBy(*group).agg(F.sum("_term").alias("_sum"))
     size = F.col("rows").cast("double")
     critical = F.round(AD_CRITICAL / (1 + AD_LINEAR / size - AD_SQUARE / (size * size)), 3)
     skipped = F.col("rows") < min_n
@@ -244,12 +248,12 @@ def bootstrap_model_gap(
 ) -> DataFrame:
     """Interval of the difference between two models' resampled mean scores.
 
-    The two columns are resampled independently of each other.
+    The two columns are resampled independently of each other, in one pass with two seeds.
     """
-    source = df.withColumn("_grp", F.lit("all"))
-    first = bootstrap_means(source, id_col, "_grp", [a], iterations, seed).select("iter", F.col("mean").alias("_a"))
-    second = bootstrap_means(source, id_col, "_grp", [b], iterations, seed + 1).select("iter", F.col("mean").alias("_b"))
-    gap = first.join(second, "iter").withColumn("_gap", F.col("_a") - F.col("_b"))
+    source = df.select(col(id_col).alias("_id"), col(a).alias("_a"), col(b).alias("_b"), F.lit("all").alias("_grp"))
+    means = bootstrap_means(source, "_id", "_grp", ["_a", "_b"], iterations, [seed, seed + 1])
+    both = means.groupBy("iter").agg(*[F.max(F.when(F.col("feature") == c, F.col("mean"))).alias(c) for c in ("_a", "_b")])
+    gap = both.withColumn("_gap", F.col("_a") - F.col("_b"))
     ends = gap.agg(
         F.avg("_a").alias("mean_a"), F.avg("_b").alias("mean_b"),
         F.percentile("_gap", F.lit(alpha / 2)).alias("ci_low"),

@@ -65,6 +65,32 @@ def test_bootstrap_sums(people, parts):
     assert (one["sw"], one["swx"]) == (want["w"], want["wx"])
 
 
+def test_bootstrap_moves_no_row_by_its_id(people, tmp_path, monkeypatch):
+    from loanloom.operators import lookup
+
+    people.write.parquet(str(tmp_path / "p"))
+    table = people.sparkSession.read.parquet(str(tmp_path / "p"))
+    small = sampling.bootstrap_sums(table, "id", "y", ["x"], 5)
+    assert "RoundRobinPartitioning" in small._jdf.queryExecution().toString()
+    monkeypatch.setattr(lookup, "SPLIT_BYTES", 1)
+    large = sampling.bootstrap_sums(table, "id", "y", ["x"], 5)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(grp" in plan
+    key = lambda r: (r["grp"], r["iter"])
+    for a, b in zip(sorted(small.collect(), key=key), sorted(large.collect(), key=key)):
+        assert key(a) == key(b) and a["sw"] == b["sw"] and abs(a["swx"] - b["swx"]) < 1e-9 * (1 + abs(b["swx"]))
+
+
+def test_a_seed_for_each_column(people):
+    both = people.select("id", "y", "x", F.col("x").alias("z"))
+    rows = sampling.bootstrap_sums(both, "id", "y", ["x", "z"], 9, [5, 6]).collect()
+    for column, seed in (("x", 5), ("z", 6)):
+        alone = {(r["grp"], r["iter"]): (r["sw"], r["swx"]) for r in sampling.bootstrap_sums(both, "id", "y", [column], 9, seed).collect()}
+        for r in rows:
+            if r["feature"] == column:
+                assert r["sw"] == alone[r["grp"], r["iter"]][0] and abs(r["swx"] - alone[r["grp"], r["iter"]][1]) < 1e-9 * (1 + abs(r["swx"]))
+
+
 def test_resample_keeps_size_in_expectation(people):
     again = sampling.resample(people, "id")
     assert abs(again.count() / 3001 - 1) < 0.08
