@@ -29,7 +29,7 @@ def log_cdf_texts(a: str, q: str) -> tuple[str, str]:
     for k in range(32, 0, -1):
         series = f"(1e0 + {near} / {2 * k + 1}e0 * {series})"
     fraction = far
-    for k in range(40, 0, -1):
+    for k in range(72, 0, -1):
         fraction = f"({far} + {k}e0 / {fraction})"
     middle = f"({a} * exp(-{near} / 2e0 - {_LOG_ROOT}) * {series})"
     tail = f"(-{q} / 2e0 - {_LOG_ROOT} - ln({fraction}))"
