@@ -177,12 +177,7 @@ def significant_features(v: Views) -> DataFrame:
     """All seven source selections, at the reference's 1000 resamples."""
     profiles = cards.six_stat_profile(v.cc, "sk_id_prev", ["amt_balance", "amt_drawings", "cnt_drawings"])
     tables = selection.source_tables(v.app, v.bur, v.bur_bal, profiles, v.prev, v.inst, v.pos)
-    out = None
-    for name, table in tables.items():
-        found = selection.significant_features(table, selection.PRESETS[name])
-        found = found.withColumn("source", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return selection.select_from_sources(tables)
 
 
 @query("compose_features")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,6 +74,23 @@ def significant_features(df: DataFrame, preset: Preset, iterations: int = 1000,
     return table.join(kept, "feature")
 
 
+def select_from_sources(tables: dict[str, DataFrame], presets: dict[str, Preset] = PRESETS, iterations: int = 1000, seed: int = 123) -> DataFrame:
+    """(source, feature, test, vote, keep) of several source tables, selected side by side.
+
+    Each source is read once; the small jobs of one fill the gaps of another.
+    """
+    def one(name: str) -> DataFrame:
+        found = significant_features(tables[name], presets[name], iterations, seed)
+        return materialized(found.withColumn("source", F.lit(name)), "votes")
+
+    with ThreadPool(len(tables)) as pool:
+        parts = pool.map(one, tables)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def source_tables(app, bur, bur_bal, cards, prev, inst, pos) -> dict[str, DataFrame]:
     """Each source table with its target, as the selections read it."""
     keys = app.select("sk_id_curr", "target")

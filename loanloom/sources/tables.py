@@ -14,6 +14,9 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 from ..functions.core import col
 
 
+_VERSION = "version-"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares between machines, named by ``spark.checkpoint.dir``.
 
@@ -36,8 +39,8 @@ def register_views(spark: SparkSession, folder: str, names: list[str] | None = N
     Without ``names`` every ``<name>.parquet`` of the folder is registered.
     """
     if names is None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        files, place = _files(spark, folder)
+        listed = files.listStatus(place)
         names = sorted(f.getPath().getName().removesuffix(".parquet") for f in listed if f.getPath().getName().endswith(".parquet"))
     for name in names:
         scan_table(spark, name, folder).createOrReplaceTempView(name)
@@ -88,11 +91,61 @@ def sink_feature_file(df: DataFrame, path: str, key: str, form: str = "parquet")
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").collect()
+    return rows[0]["data_type"] if rows else ""
+
+
 def sink_table_replace(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Replace a catalog table and return it."""
-    writer = df.write.mode("overwrite")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Replace a catalog table and return it.
+
+    The rows are written to a new folder below ``path`` (the table's folder in the
+    warehouse without one) and the table is pointed to it only once that has ended well: a
+    write that fails leaves the table as it was, and a table can be replaced by rows read
+    from itself. With the columns it had before, the table changes in one step; other
+    columns need it to be dropped and made again. The folder of the last version is then
+    removed, so frames that still read it must not be used any more.
+    """
+    spark = df.sparkSession
+    root = path or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), name)
+    staged = os.path.join(root, f"{_VERSION}{uuid.uuid4().hex}")
+    try:
+        df.write.parquet(staged)
+    except Exception:
+        files, place = _files(spark, staged)
+        files.delete(place, True)
+        raise
+    last = None
+    if spark.catalog.tableExists(name):
+        last = _location(spark, name)
+        if spark.table(name).dtypes == df.dtypes:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{staged}'")
+        else:
+            spark.sql(f"DROP TABLE {name}")
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, staged, "parquet")
+    spark.catalog.refreshTable(name)
+    if last and os.path.basename(last).startswith(_VERSION):
+        files, place = _files(spark, last)
+        files.delete(place, True)
+    return spark.table(name)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str = "bucketed") -> DataFrame:
+    """Write a table bucketed and sorted by a key, a file per bucket, and read it back.
+
+    Tables of as many buckets join on the key without an exchange. It is an external table
+    of the session's catalog in the shared folder.
+    """
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, col(key)).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
 
 
 def materialized(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -103,3 +103,33 @@ def test_checks(spark):
     assert quality.filled_columns(a, 0.7) == (["id"], []) and quality.filled_columns(a, 0.5)[0] == ["id", "x"]
     profile = {r["column_name"]: r for r in quality.table_profile(a).collect()}
     assert profile["id"]["q50"] == 2.0 and profile["x"]["n_missing"] == 1 and profile["x"]["std"] == 0.0
+
+
+def test_a_table_is_replaced_as_a_whole_or_not_at_all(spark, tmp_path):
+    name, path = "replaced_table", str(tmp_path / "t")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows = spark.range(100).withColumn("v", F.col("id") * 2)
+    assert tables.sink_table_replace(rows, name, path).count() == 100
+    bad = rows.withColumn("v", F.when(F.col("id") == 70, F.raise_error(F.lit("no"))).otherwise(F.col("v")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        tables.sink_table_replace(bad, name, path)
+    assert spark.table(name).agg(F.sum("v")).first()[0] == 9900
+    for left in (50, 20):  # from itself, twice
+        assert tables.sink_table_replace(spark.table(name).filter(f"id < {left}"), name, path).count() == left
+    assert len(list((tmp_path / "t").glob("version-*"))) == 1
+    other = tables.sink_table_replace(spark.table(name).select("id", F.lit("x").alias("w")), name, path)
+    assert other.columns == ["id", "w"] and other.count() == 20
+    assert tables.sink_table_replace(other.limit(0), name, path).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = tables.bucketed(spark.range(1000).withColumn("x", F.col("id") % 7), "id", 4)
+        b = tables.bucketed(spark.range(0, 2000, 2).withColumn("y", F.lit(1)), "id", 4)
+        joined = a.join(b, "id", "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000 and joined.filter("y = 1").count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
