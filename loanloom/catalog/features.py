@@ -151,9 +151,10 @@ def six_stat_profile(v: Views) -> DataFrame:
     return rounded(out.select("sk_id_prev", *[F.col(c).cast("double").alias(c) for c in out.columns[1:]]))
 
 
-def _ratio_sql(n: str, d: str) -> str:
+def _ratio_sql(n: str, d: str, digits: int | None = 4) -> str:
     inf = "CAST('Infinity' AS DOUBLE)"
-    return f"CASE WHEN {d} IS NULL THEN NULL WHEN {d} <> 0 THEN round({n} / {d}, 4) WHEN {n} > 0 THEN {inf} WHEN {n} < 0 THEN -{inf} END"
+    plain = f"{n} / {d}" if digits is None else f"round({n} / {d}, {digits})"
+    return f"CASE WHEN {d} IS NULL THEN NULL WHEN {d} <> 0 THEN {plain} WHEN {n} > 0 THEN {inf} WHEN {n} < 0 THEN -{inf} END"
 
 
 @query("period_ratio_profile", "SELECT sk_id_prev, " + ", ".join(

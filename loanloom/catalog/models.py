@@ -180,6 +180,24 @@ def search_tree(v: Views) -> DataFrame:
     return trials
 
 
+@query("search_boosted")
+def search_boosted(v: Views) -> DataFrame:
+    """A hundred draws of boosted trees, with leaf limits and both penalties."""
+    return rounded(models.search_boosted(v.app, INPUTS)[0])
+
+
+@query("search_forest")
+def search_forest(v: Views) -> DataFrame:
+    return rounded(models.search_forest(v.app, INPUTS)[0])
+
+
+@query("search_meta")
+def search_meta(v: Views) -> DataFrame:
+    """A hundred draws of the logistic meta-model over two base scores."""
+    scores = models.Inputs("sk_id_curr", "target", ["proba_a", "proba_b"])
+    return rounded(models.hyperparameter_search(v.scored, scores, "meta", how="holdout")[0])
+
+
 @query("roc_auc", """
     SELECT round((sum(r) FILTER (WHERE target = 1) - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS roc_auc FROM (
       SELECT target, rank() OVER (ORDER BY proba_a) + (count(*) OVER (PARTITION BY proba_a) - 1) / 2.0::DOUBLE AS r,

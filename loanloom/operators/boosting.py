@@ -36,6 +36,7 @@ UNIT = 1 << 20
 BINS = 64  # of a number; a category has up to MOST_BINS
 MOST_BINS = 256
 FEW_TASKS = 8
+FEW_MODELS = 3
 LOCAL_ROWS = 10_000  # of a node that one task may finish
 WRITE_EVERY = 10  # rounds after which the scores are written to the shared folder
 LEAST_HESSIAN = 1e-3
@@ -457,7 +458,7 @@ def _sums(state: DataFrame, growing: dict[int, tuple[Tree, dict[int, int], Task]
 def _local(state: DataFrame, growing: dict[int, tuple], depth: int, features: int, models: int, losses: bool, tasks: int, ordered: np.ndarray):
     """Finish nodes of few rows: each node's rows meet in one task. One job; returns trees by model and node, and losses.
 
-    A state of one task has all rows in place and needs no exchange.
+    A state of one task has all rows in place; a few models need no exchange then.
     """
     asked = [(m, tree.plain(), spots, list(task.held), list(task.held | task.unused), task.settings, allowed) for m, (tree, spots, task, allowed) in growing.items()]
 
@@ -515,7 +516,7 @@ def _local(state: DataFrame, growing: dict[int, tuple], depth: int, features: in
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((m, node, grown(m, node, bins, g, h), 0, 0, 0), _LOCAL)], _LOCAL_NAMES)
 
     schema = "model int, node int, bins binary, g long, h long, n long"
-    found = state.mapInArrow(in_place, schema) if tasks == 1 else state.mapInArrow(emit, schema).groupBy("model", "node").applyInPandas(finish, schema)
+    found = state.mapInArrow(in_place, schema) if tasks == 1 and len(asked) <= FEW_MODELS else state.mapInArrow(emit, schema).groupBy("model", "node").applyInPandas(finish, schema)
     rows = found.toArrow().to_pylist()
     return {(r["model"], r["node"]): r["bins"] for r in rows if r["model"] >= 0}, {-1 - r["model"]: (r["g"], r["h"]) for r in rows if r["model"] < 0}
 

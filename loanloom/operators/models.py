@@ -213,6 +213,20 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
+def roc_auc_of_each(df: DataFrame, label: str, scores: list[str]) -> dict[str, float]:
+    """The same area for each of several score columns, in one pass; one row per column is read."""
+    source = df.filter(col(label).isNotNull()).select(col(label).cast("int").alias("_label"), *[col(s).cast("double").alias(s) for s in scores])
+    long = source.unpivot(["_label"], scores, "model", "score").filter("score IS NOT NULL")
+    counted = long.groupBy("model", "score").agg(
+        F.count(F.when(F.col("_label") == 0, 1)).alias("n0"), F.count(F.when(F.col("_label") == 1, 1)).alias("n1"))
+    rows = source.count()
+    ranked = running_totals(counted, ["model"], "score", ["n0", "n1"], long if rows > GROUP_ROWS else None, rows, GROUP_ROWS)
+    wins = F.sum(F.col("n1") * (F.col("n0_before") + F.col("n0") / 2))
+    area = F.try_divide(wins, F.max("n0_all").cast("double") * F.max("n1_all"))
+    found = {r["model"]: r["area"] for r in ranked.groupBy("model").agg(area.alias("area")).collect()}
+    return {s: 0.5 if found.get(s) is None else float(found[s]) for s in scores}
+
+
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """False and true positive rate when everything from a score upward is called positive."""
     ranked = _score_counts(df, label, score)
@@ -321,8 +335,8 @@ SPACES = {
         "minInstancesPerNode": (1, 20, 1), "featureSubsetStrategy": (0.03, 0.2, 0.01),
     },
     "boosted": {
-        "stepSize": (0.001, 0.5, 0.001), "maxDepth": (3, 10, 1), "maxIter": (100, 1000, 1),
-        "minInstancesPerNode": (10, 100, 1), "featureSubsetStrategy": (0.03, 1.0, 0.01),
+        "rate": (0.001, 0.5, 0.001), "depth": (3, 10, 1), "rounds": (100, 1000, 1), "leaves": (20, 62, 1), "least_rows": (10, 100, 1),
+        "share": (0.03, 1.0, 0.01), "l1": (0, 100, 1), "l2": (0, 100, 1),
     },
     "meta": {"maxIter": (100, 200, 1), "C": (0.01, 10.01, 0.1)},
 }
@@ -362,7 +376,8 @@ def hyperparameter_search(
     """(table of trials with their ROC-AUC, model refitted with the best draw).
 
     ``folds`` judges each draw on stratified folds, ``holdout`` on one
-    stratified validation part. Draws come from ``SPACES`` unless given.
+    stratified validation part. Draws come from ``SPACES`` unless given. Forests and boosted
+    trees have ``search_forest`` and ``search_boosted``.
     """
     table = model_table(df, inputs).persist()
     try:
@@ -370,10 +385,10 @@ def hyperparameter_search(
         draws = draw_params(space or SPACES[kind], TRIALS[kind] if n is None else n, seed)
         learner = {
             "logistic": lambda: logistic(rows), "meta": lambda: logistic(rows), "tree": tree,
-            "forest": forest, "boosted": boosted,
+            "forest": forest,
         }[kind]()
         maps = [_param_map(learner, d, rows) for d in draws]
-        stages = encoding_stages(inputs, scale=kind != "tree", expand=kind != "boosted")
+        stages = encoding_stages(inputs, scale=kind != "tree")
         if how == "folds":
             per_fold = cross_validate(table, inputs.id_col, stages, learner, maps, k, seed=seed, parallelism=parallelism)
             scores = [sum(s) / k for s in zip(*per_fold)]
@@ -389,6 +404,81 @@ def hyperparameter_search(
     return df.sparkSession.createDataFrame(trials, "trial int, params string, roc_auc double"), model
 
 
+def halving(n: int, budgets: list[int], judge, keep: int = 5) -> list[tuple[int, int, float]]:
+    """(draw, budget, score) of each draw at the last rung it reached.
+
+    ``judge(draws, budget)`` scores some draws at a budget; the best ``keep``-th part of a
+    rung, one at least, goes on to the next, larger budget.
+    """
+    alive, last = list(range(n)), {}
+    for rung, budget in enumerate(budgets):
+        scores = dict(zip(alive, judge(alive, budget)))
+        last.update({i: (i, budget, float(s)) for i, s in scores.items()})
+        if rung + 1 < len(budgets):
+            alive = sorted(alive, key=lambda i: (-scores[i], i))[:max(1, len(alive) // keep)]
+    return [last[i] for i in sorted(last)]
+
+
+def _trials(df: DataFrame, draws: list[dict], found: list[tuple[int, int, float]]) -> tuple[DataFrame, int]:
+    """The table of trials, and the best draw of the last rung."""
+    top = max(b for _, b, _ in found)
+    best = max((f for f in found if f[1] == top), key=lambda f: (f[2], -f[0]))[0]
+    rows = [(i, str(sorted(draws[i].items())), budget, score) for i, budget, score in found]
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, budget int, roc_auc double"), best
+
+
+def search_boosted(
+    df: DataFrame, inputs: Inputs, n: int | None = None, budgets: tuple[int, ...] = (5, 25, 125), seed: int = SEED,
+    space: dict | None = None, validation: float = 0.25, patience: int = PATIENCE["train"],
+) -> tuple[DataFrame, BoostedModel]:
+    """(trials, best model) by successive halving over rounds, judged on one stratified validation part.
+
+    All draws of a rung grow in step over one table, so a rung of a hundred draws takes the
+    passes of a single model. A draw's own number of rounds is its limit.
+    """
+    draws = draw_params(space or SPACES["boosted"], TRIALS["boosted"] if n is None else n, seed)
+    parts = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, {"train": 1 - validation, "validation": validation}, seed)
+    parts = materialized(parts.withColumn("part", (F.col("split") == "validation").cast("int")), "search")
+    held = parts.filter("part = 1").select(LABEL, *inputs.numeric, *inputs.categorical)
+    binning = boosting.learn_bins(parts, inputs.numeric, inputs.categorical)
+    grown: dict[int, BoostedModel] = {}
+
+    def judge(alive: list[int], budget: int) -> list[float]:
+        tasks = [Task(Settings(**{**draws[i], "rounds": min(budget, draws[i]["rounds"]), "patience": patience, "seed": seed + i}), frozenset([1])) for i in alive]
+        models = boosting.grow(parts, inputs.numeric, inputs.categorical, tasks, LABEL, WEIGHT, "part", binning=binning)
+        grown.update(zip(alive, models))
+        names = {f"m{i}": m for i, m in zip(alive, models)}
+        areas = roc_auc_of_each(boosting.scored(held, names), LABEL, list(names))
+        return [areas[f"m{i}"] for i in alive]
+
+    trials, best = _trials(df, draws, halving(len(draws), list(budgets), judge))
+    return trials, grown[best]
+
+
+def search_forest(
+    df: DataFrame, inputs: Inputs, n: int | None = None, budgets: tuple[int, ...] = (4, 20, 100), seed: int = SEED,
+    space: dict | None = None, parallelism: int = 4,
+) -> tuple[DataFrame, PipelineModel]:
+    """(trials, forest refitted with the best draw) by successive halving over the number of trees.
+
+    A budget is the per cent of a draw's own number of trees that is grown.
+    """
+    table = model_table(df, inputs)
+    draws = draw_params(space or SPACES["forest"], TRIALS["forest"] if n is None else n, seed)
+    stages = encoding_stages(inputs)
+
+    def judge(alive: list[int], budget: int) -> list[float]:
+        learner = forest()
+        maps = [_param_map(learner, {**draws[i], "numTrees": max(1, draws[i]["numTrees"] * budget // 100)}, 1) for i in alive]
+        return validate(table, inputs.id_col, stages, learner, maps, seed=seed, parallelism=parallelism)
+
+    trials, best = _trials(df, draws, halving(len(draws), list(budgets), judge))
+    learner = forest()
+    encoder = Pipeline(stages=stages).fit(table)
+    final = learner.copy(_param_map(learner, draws[best], 1))
+    return trials, PipelineModel(stages=[*encoder.stages, final.fit(encoder.transform(table))])
+
+
 # ---- ensembles ---------------------------------------------------------------
 
 def _meta_features(scored: DataFrame, names: list[str]) -> DataFrame:

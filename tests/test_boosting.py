@@ -185,3 +185,30 @@ def test_training_saving_and_ensembles(spark, table, tmp_path):
             assert models.roc_auc(out, "target", n).first()[0] > 0.65
     only = models.stack_oof(people, inputs, {"one": Settings(rounds=3), "two": Settings(rounds=3, depth=2)}, k=3)
     assert only.columns == ["id", "target", "one", "two", "stacking"]
+
+
+def test_halving_keeps_the_best():
+    seen = []
+
+    def judge(alive, budget):
+        seen.append((list(alive), budget))
+        return [-abs(i - 7) + budget / 1000 for i in alive]
+
+    found = models.halving(20, [1, 2, 4], judge, keep=4)
+    assert seen == [(list(range(20)), 1), ([7, 6, 8, 5, 9], 2), ([7], 4)]
+    assert [f[:2] for f in found] == [(i, 4 if i == 7 else 2 if i in (5, 6, 8, 9) else 1) for i in range(20)]
+
+
+def test_searches(table):
+    inputs = models.Inputs("id", "label", ["x", "z"], ["c"])
+    people = table.drop("class_weight", "part")
+    trials, model = models.search_boosted(people, inputs, n=7, budgets=(2, 6))
+    rows = trials.collect()
+    assert len(rows) == 7 and sum(r["budget"] == 6 for r in rows) == 1 and len(model.trees) <= 6
+    best = next(r for r in rows if r["budget"] == 6)
+    parts = models.stratified_split(models.model_table(people, inputs), "id", "label", {"train": 0.75, "validation": 0.25}, models.SEED)
+    held = models.boosting.scored(parts.filter("split = 'validation'"), {"a": model})
+    assert models.roc_auc(held, "label", "a").first()[0] == pytest.approx(best["roc_auc"])
+    assert models.roc_auc_of_each(held.withColumn("b", 1 - F.col("a")), "label", ["a", "b"])["b"] == pytest.approx(1 - best["roc_auc"])
+    trials, model = models.search_forest(people, inputs, n=5, budgets=(2, 4))
+    assert trials.count() == 5 and models.score_table(model, people, inputs).count() == N

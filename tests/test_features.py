@@ -233,3 +233,37 @@ def test_whole_pipeline(spark):
     assert clean.drop(columns="target").notna().all().all() and not np.isinf(clean["avg_pct_instalment_paid"]).any()
     base = features.clean_table(chosen, baseline=True)
     assert base.count() == v.app.count() and "Car loan" in base.columns
+
+
+def test_bucketed_feature_sets_join_without_exchange(spark):
+    from loanloom.plans.features import assemble_bucketed, features_train_test
+    from loanloom.plans.standin import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    sources = (v.app, v.bur, v.bur_bal, v.cc, v.prev, v.inst)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = assemble_bucketed(*sources, 4)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 4
+        plain = features_train_test(*sources)
+        assert whole.columns == plain.columns and whole.count() == plain.count() == v.app.count()
+        assert whole.exceptAll(plain).count() < whole.count()  # sums of another order may differ in a last bit
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sources_selected_side_by_side_are_selected_alike(spark):
+    import numpy as np
+
+    from loanloom.plans import selection
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.random() < 0.4), float(rng.normal() + (i % 2)), float(rng.integers(0, 9)), "ab"[i % 2]) for i in range(400)]
+    table = spark.createDataFrame(rows, "sk_id_curr int, target int, x double, z double, c string")
+    presets = {"one": selection.Preset(), "two": selection.Preset(bootstrap=False, rule="any")}
+    both = selection.select_from_sources({"one": table, "two": table.filter("z > 2")}, presets, iterations=50)
+    for name, part in (("one", table), ("two", table.filter("z > 2"))):
+        alone = selection.significant_features(part, presets[name], 50)
+        found = both.filter(F.col("source") == name).select(alone.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, alone.collect())) and alone.count() >= 3
