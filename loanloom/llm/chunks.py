@@ -1,11 +1,14 @@
 """BPE encoding with reuse of content-defined chunks, and decoding.
 
 Texts are cut where a rolling hash of the last characters has its low bits clear, so the
-same passage is cut alike wherever it stands. Chunks that many documents share are
-encoded once, on Spark, and handed to all tasks; other chunks are encoded once per task.
+same passage is cut alike wherever it stands. The ``SHARED_CHUNKS`` chunks that save most
+are encoded once, on Spark, and handed to all tasks; others are kept by a task while its
+cache has room for them, and encoded anew where they come again later.
 A cut may run through a word: at each seam the last pieces of the left and the first of
 the right chunk are encoded again, together, and spliced in where the outer pieces agree;
-where they don't, both chunks are encoded as one.
+where they don't, the chunks are encoded as one. A run of chunks without agreement, such
+as a text without white space, is cut anew only when it has grown by half, and encoded
+once, when it ends.
 """
 
 from __future__ import annotations
@@ -64,16 +67,29 @@ def chunk_name(chunk: str) -> int:
 
 
 class Chunk:
-    """A chunk's ids, with its first and last pieces and how many bytes of ids each has."""
+    """A chunk with its pieces at both ends; ``ids`` of all its pieces are made when they are first asked for."""
 
-    __slots__ = ("text", "ids", "head", "tail", "head_ids", "tail_ids", "count")
+    __slots__ = ("text", "head", "tail", "count", "_pieces", "_parts", "_ids", "_edges")
 
     def __init__(self, text: str, pieces: Pieces, ids: bytes | None = None):
         parts = pieces.cut(text)
-        self.text, self.count = text, len(parts)
-        self.ids = b"".join(map(pieces.__getitem__, parts)) if ids is None else ids
+        self.text, self.count, self._pieces, self._edges = text, len(parts), pieces, None
         self.head, self.tail = parts[:EDGE], parts[-EDGE:]
-        self.head_ids, self.tail_ids = (sum(len(pieces[p]) for p in edge) for edge in (self.head, self.tail))
+        self._ids, self._parts = ids, None if ids is not None else parts
+
+    @property
+    def ids(self) -> bytes:
+        if self._ids is None:
+            self._ids = b"".join(map(self._pieces.__getitem__, self._parts))
+            self._parts = None
+        return self._ids
+
+    @property
+    def edges(self) -> tuple[int, int]:
+        """How many bytes of ids the first and the last pieces have."""
+        if self._edges is None:
+            self._edges = tuple(sum(len(self._pieces[p]) for p in edge) for edge in (self.head, self.tail))
+        return self._edges
 
 
 class ChunkEncoder:
@@ -96,27 +112,41 @@ class ChunkEncoder:
         self.own[text] = made
         return made
 
+    def _seam(self, left: Chunk, right: Chunk) -> bytes | None:
+        """Ids between the two chunks' inner pieces; None for too few pieces, or without agreement."""
+        if left.count < 2 * EDGE or right.count < 2 * EDGE:
+            return None
+        seam = self.pieces.cut("".join(left.tail + right.head))
+        if seam[0] != left.tail[0] or seam[-1] != right.head[-1]:
+            return None
+        self.repaired += seam != left.tail + right.head
+        return b"".join(map(self.pieces.__getitem__, seam))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.pieces.sound(text):
             return self.pieces.whole(text)
         out, left, skip = [], None, 0
-        for right in map(self.chunk, chunks_of(text)):
+        waiting, chars, run = [], 0, False  # chunks that belong to the left one but were not cut with it yet
+        for end in chunks_of(text):
             if left is None:
-                left = right
-                continue
-            joined = None
-            if left.count >= 2 * EDGE and right.count >= 2 * EDGE:
-                seam = self.pieces.cut("".join(left.tail + right.head))
-                if seam[0] == left.tail[0] and seam[-1] == right.head[-1]:
-                    joined = b"".join(map(self.pieces.__getitem__, seam))
-            if joined is None:  # too few pieces, or no agreement
-                left = Chunk(left.text + right.text, self.pieces)
+                left = self.chunk(end)
                 continue
-            self.repaired += seam != left.tail + right.head
-            out += [left.ids[skip:len(left.ids) - left.tail_ids], joined]
-            left, skip = right, right.head_ids
+            if not waiting:
+                right = self.chunk(end)
+                joined = self._seam(left, right)
+                if joined is not None:
+                    out += [left.ids[skip:len(left.ids) - left.edges[1]], joined]
+                    left, skip, run = right, right.edges[0], False
+                    continue
+            waiting.append(end)
+            chars += len(end)
+            if not run or 2 * chars >= len(left.text):
+                left, run = Chunk("".join([left.text, *waiting]), self.pieces), True
+                waiting, chars = [], 0
+        if waiting:
+            left = Chunk("".join([left.text, *waiting]), self.pieces)
         return b"".join([*out, left.ids[skip:]])
 
 
@@ -124,33 +154,43 @@ def shared_chunks(docs: DataFrame, json: str, most: int = SHARED_CHUNKS) -> dict
     """The chunks that save most when encoded once, of all that occur twice or more, with their ids.
 
     Counted over all documents by name, with partial counts per task; then their texts are
-    fetched and encoded on Spark. ``most`` bounds what is handed to all tasks (at most
-    ``most`` times ``MOST_CHARS`` characters); every other chunk is encoded where it occurs.
+    fetched from one document each and encoded on Spark. ``most`` bounds what is handed to
+    all tasks (at most ``most`` times ``MOST_CHARS`` characters); every other chunk is
+    encoded where it occurs.
     """
     def count(batches):
         seen: Counter = Counter()
+        first: dict[int, int] = {}
 
         def rows():
             return pa.RecordBatch.from_arrays([
                 pa.array([k for k, _ in seen], pa.int64()), pa.array(list(seen.values()), pa.int64()),
-                pa.array([n for _, n in seen], pa.int64())], ["name", "n", "chars"])
+                pa.array([n for _, n in seen], pa.int64()), pa.array([first[k] for k, _ in seen], pa.int64())], ["name", "n", "chars", "doc"])
 
-        for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
+        for batch in slices(batches, 1):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    seen.update((chunk_name(c), len(c)) for c in chunks_of(text))
+                    for c in chunks_of(text):
+                        name = chunk_name(c)
+                        seen[name, len(c)] += 1
+                        first.setdefault(name, doc)
             if len(seen) >= 200_000:
                 yield rows()
                 seen.clear()
+                first.clear()
         if seen:
             yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "name long, n long, chars long").groupBy("name").agg(
-        F.sum("n").alias("n"), F.max("chars").alias("chars")).filter("n > 1")
-    best = counted.orderBy(F.desc(F.expr("(n - 1) * chars")), "name").limit(most)
-    names = frozenset(best.select("name").toArrow()["name"].to_pylist())
+    counted = docs.select("doc_id", "text").mapInArrow(count, "name long, n long, chars long, doc long").groupBy("name").agg(
+        F.sum("n").alias("n"), F.max("chars").alias("chars"), F.min("doc").alias("doc")).filter("n > 1")
+    best = counted.orderBy(F.desc(F.expr("(n - 1) * chars")), "name").limit(most).select("name", "doc").toArrow()
+    names = frozenset(best["name"].to_pylist())
     if not names:
         return {}
+    sources = docs.sparkSession.createDataFrame([(d,) for d in sorted({d for d in best["doc"].to_pylist() if d is not None})], "doc_id long")
+    anonymous = docs.filter("doc_id IS NULL").select("text") if None in best["doc"].to_pylist() else None  # chunks of rows without id alone
+    holding = docs.join(F.broadcast(sources), "doc_id", "left_semi").select("text")
+    holding = holding if anonymous is None else holding.union(anonymous)
 
     def fetch(batches):
         sent: set[int] = set()
@@ -171,7 +211,7 @@ def shared_chunks(docs: DataFrame, json: str, most: int = SHARED_CHUNKS) -> dict
             ids = [pieces.encode(c) for c in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
-    texts = docs.select("text").mapInArrow(fetch, "name long, chunk string").groupBy("name").agg(F.min("chunk").alias("chunk"))
+    texts = holding.mapInArrow(fetch, "name long, chunk string").groupBy("name").agg(F.min("chunk").alias("chunk"))
     found = texts.select("chunk").mapInArrow(encode, "chunk string, ids binary").toArrow()
     return dict(zip(found["chunk"].to_pylist(), found["ids"].to_pylist()))
 

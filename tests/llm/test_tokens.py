@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,16 @@ def test_chunks_equal_library(path, parts, seed):
     assert "".join(chunks.chunks_of(text)) == text
 
 
+def test_text_without_white_space_takes_linear_time():
+    draw, pieces = random.Random(3), PIECES[WORD]
+    for letters in ([chr(c) for c in range(0x4E00, 0x9000)], "abcdefghijklmnop0123456789+/"):
+        text = "a few words before " + "".join(draw.choices(letters, k=80_000)) + " and some after"
+        encoder, start = chunks.ChunkEncoder(pieces, {}), time.perf_counter()
+        found = encoder.encode(text)
+        assert time.perf_counter() - start < 2
+        assert found == pieces.whole(text)
+
+
 def test_passages_are_cut_alike_and_seams_repaired():
     rnd = random.Random(1)
     passage = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(600))
