@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .batches import slices
 
@@ -26,7 +27,7 @@ CALIBRATION_SHARE = 4  # one in so many sample rows fits the temperature only
 LEAST_SHARE = 0.001  # of right predictions for these, the share whose score counts as low
 UNKNOWN = "und"
 _BREAKS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # Unicode category L: neither numerals like U+2167 nor fractions
 _STEP = np.uint32(0x9E3779B1)
 _BLOCK_CHARS = 1 << 20
 
@@ -188,10 +189,8 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not names or not total:
         return empty
     hashed = labelled.withColumn("h", F.xxhash64("text"))
-    rows = None
-    for name in names:  # each a take-ordered of few rows
-        one = hashed.filter(F.col("lang") == name).select("h", "lang").distinct().orderBy("h").limit(-(-sample_rows // len(names)))
-        rows = one if rows is None else rows.union(one)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limits groups before its exchange
+    rows = hashed.select("h", "lang").distinct().withColumn("place", place).filter(F.col("place") <= -(-sample_rows // len(names)))
     keys = [(r.h, r.lang) for r in rows.collect()]
     wanted = frozenset(keys)
 

@@ -67,3 +67,11 @@ def test_blocks_lose_no_gram(monkeypatch):
     for block in (1, 2, 3, 7, 64):
         monkeypatch.setattr(L, "_BLOCK_CHARS", block)
         assert all((L.gram_counts(t) == w).all() for t, w in zip(texts, whole))
+
+
+def test_numerals_and_fractions_are_no_letters():
+    model = L.Model(["a", "b"], np.ones(L.BUCKETS), np.zeros((L.BUCKETS, 2)), np.zeros(2))
+    for text in ("\u00bd", "\u00b2 \u2167", "\u2460 12", "\u0301", "_-_", "\n"):
+        assert model.predict(text) == ("und", 0.0)
+    for text in ("a", "\u00aa", "1\u65e5", "\u02b0", "\U00010400"):
+        assert model.predict(text)[0] in ("a", "b")
