@@ -20,6 +20,7 @@ SUBSTITUTIONS = 2
 #: Any two of 13 positions leave one of these masks, at some shift, untouched.
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 7, 8, 9, 10), (0, 3, 4, 5, 7, 10, 11))
 BLOCK_TOKENS = 1 << 20
+MOST_PAIRS = 1 << 20  # of places, or of tokens under comparison, at a time
 _PLACE_BITS = 20
 _STEP = 0x9FB21C651E98DF25
 _BREAK = np.ones(256, bool)
@@ -89,37 +90,86 @@ class Items:
             places[hashes & np.uint64((1 << _PLACE_BITS) - 1)] = True
             self.seeds.append((place, hashes, at, places))
 
-    def hits(self, tokens: np.ndarray, row: np.ndarray):
-        """(token position of the text, token position of the items) of equal seeds."""
+    def hits(self, tokens: np.ndarray, row: np.ndarray, bounds: np.ndarray):
+        """Arrays (text, item, shift) of equal seeds: the item's first token lies ``shift`` tokens into the text.
+
+        Pairs of places are listed at most ``MOST_PAIRS`` at a time. Where a seed comes so
+        often in a text and in an item that their pairs outnumber the possible shifts, the
+        shifts are marked instead, place by place of the item.
+        """
+        owner = rows_of(self.bounds)
         for place, hashes, at, places in self.seeds:
             own, pos = seed_hashes(tokens, row, place)
             near = np.flatnonzero(places[own & np.uint64((1 << _PLACE_BITS) - 1)])
             own, pos = own[near], pos[near]
-            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            count = high - low
-            if count.any():
-                start = np.cumsum(count) - count
-                which = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(start, count)
-                yield np.repeat(pos, count), at[which]
-
-    def passage(self, item: int, text: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-        """(equal tokens, start, end) in the text of the windows that pass, the item laid on it at ``shift``."""
+            low = np.searchsorted(hashes, own, "left")
+            count = np.searchsorted(hashes, own, "right") - low
+            pos, low, count = pos[count > 0], low[count > 0], count[count > 0]
+            if count.sum() > MOST_PAIRS:
+                group, which, times = np.unique(np.stack([row[pos], low], 1), axis=0, return_inverse=True, return_counts=True)
+                which = which.ravel()
+                often = np.zeros(len(group), bool)
+                for k in np.flatnonzero(times * count[np.unique(which, return_index=True)[1]] > MOST_PAIRS).tolist():
+                    text, first = group[k].tolist()
+                    mine = pos[which == k] - bounds[text]
+                    held = at[first:np.searchsorted(hashes, hashes[first], "right")]
+                    often[k] = True
+                    for item in np.unique(owner[held]).tolist():
+                        places_of = held[owner[held] == item] - self.bounds[item]
+                        size = int(self.bounds[item + 1] - self.bounds[item])
+                        marked = np.zeros(int(bounds[text + 1] - bounds[text]) + size, bool)
+                        for p in places_of.tolist():
+                            marked[mine - p + size] = True
+                        shifts = np.flatnonzero(marked) - size
+                        yield np.full(len(shifts), text), np.full(len(shifts), item), shifts
+                left = ~often[which]
+                pos, low, count = pos[left], low[left], count[left]
+            ends = np.cumsum(count)
+            first = 0
+            while first < len(pos):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MOST_PAIRS, "right")))
+                some = count[first:last]
+                start = np.cumsum(some) - some
+                where = at[np.repeat(low[first:last], some) + np.arange(int(some.sum())) - np.repeat(start, some)]
+                here = np.repeat(pos[first:last], some)
+                texts, found = row[here], owner[where]
+                yield texts, found, (here - bounds[texts]) - (where - self.bounds[found])
+                first = last
+
+    def passage(self, item: int, text: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
+        """(equal tokens, start, end) in the text of the windows that pass, the item laid on it at the best of ``shifts``.
+
+        The best has most equal tokens, then the first start. Shifts are tried side by side,
+        as many at a time as ``MOST_PAIRS`` tokens allow.
+        """
         own = self.tokens[self.bounds[item]:self.bounds[item + 1]]
         window, allowed = rule(len(own))
-        a, b = max(0, -shift), min(len(own), len(text) - shift)
-        if b - a < window:
-            return None
-        same = own[a:b] == text[a + shift:b + shift]
-        sums = np.concatenate(([0], np.cumsum(same)))
-        good = np.flatnonzero(sums[window:] - sums[:-window] >= window - allowed)
-        if not len(good):
-            return None
-        inside = np.zeros(len(same) + 1, np.int64)
-        np.add.at(inside, good, 1)
-        np.add.at(inside, good + window, -1)
-        inside = np.cumsum(inside)[:-1] > 0
-        first = int(good[0]) + a + shift
-        return int(same[inside].sum()), first, int(good[-1]) + window + a + shift
+        shifts = shifts[np.minimum(len(own), len(text) - shifts) - np.maximum(0, -shifts) >= window]
+        starts = np.arange(len(own) - window + 1)
+        ends = np.minimum(np.arange(len(own)), len(starts) - 1)
+        best = None
+        for k in range(0, len(shifts), max(1, MOST_PAIRS // len(own))):
+            some = shifts[k:k + max(1, MOST_PAIRS // len(own)), None]
+            at = some + np.arange(len(own))
+            same = (text[np.clip(at, 0, len(text) - 1)] == own) & (at >= 0) & (at < len(text))
+            sums = np.zeros((len(some), len(own) + 1), np.int32)
+            np.cumsum(same, axis=1, out=sums[:, 1:])
+            good = (sums[:, window:] - sums[:, :-window] >= window - allowed) & (starts + some >= 0) & (starts + window + some <= len(text))
+            passing = np.flatnonzero(good.any(axis=1))
+            if not len(passing):
+                continue
+            good, same, some = good[passing], same[passing], some[passing, 0]
+            met = np.cumsum(good, axis=1, dtype=np.int32)
+            inside = met[:, ends]
+            inside[:, window:] -= met[:, :len(own) - window]
+            matched = (same & (inside > 0)).sum(axis=1)
+            first = good.argmax(axis=1) + some
+            last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + window + some
+            j = np.lexsort((some, first, -matched))[0]
+            got = (int(matched[j]), int(first[j]), int(last[j]))
+            if best is None or (-got[0], got[1]) < (-best[0], best[1]):
+                best = got
+        return best
 
 
 def blocks(benchmark: DataFrame, size: int):
@@ -170,16 +220,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_TOKEN
 def _search(shared):
     def run(batches):
         words, items = tokenizer(), Items(*shared.value)
-        owner = rows_of(items.bounds)
         for batch in slices(batches, 1):
             tokens, bounds = tokens_of(words, batch.column(1))
             row = rows_of(bounds)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for pos, at in items.hits(tokens, row):
-                texts, found = row[pos], owner[at]
-                shifts = (pos - bounds[texts]) - (at - items.bounds[found])
-                for text, item, shift in np.unique(np.stack([texts, found, shifts], 1), axis=0).tolist():
-                    got = items.passage(item, tokens[bounds[text]:bounds[text + 1]], shift)
+            for texts, found, shifts in items.hits(tokens, row, bounds):
+                order = np.lexsort((shifts, found, texts))
+                texts, found, shifts = texts[order], found[order], shifts[order]
+                new = np.ones(len(texts), bool)
+                new[1:] = (np.diff(texts) != 0) | (np.diff(found) != 0) | (np.diff(shifts) != 0)
+                texts, found, shifts = texts[new], found[new], shifts[new]
+                edges = np.flatnonzero(np.concatenate(([True], (np.diff(texts) != 0) | (np.diff(found) != 0), [True]))) if len(texts) else []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    text, item = int(texts[a]), int(found[a])
+                    got = items.passage(item, tokens[bounds[text]:bounds[text + 1]], shifts[a:b])
                     old = best.get((text, item))
                     if got and (old is None or (-got[0], got[1]) < (-old[0], old[1])):
                         best[text, item] = got

@@ -3,6 +3,11 @@
 import itertools
 import random
 import re
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from loanloom.llm import decontaminate as D
 
@@ -41,13 +46,16 @@ def test_masks_find_any_two_substitutions():
             assert any(not p & set(gone) for p in places), (n, gone)
 
 
-def test_equals_search(spark):
+@pytest.mark.parametrize("pairs", [D.MOST_PAIRS, 40, 3])
+def test_equals_search(spark, monkeypatch, pairs):
+    monkeypatch.setattr(D, "MOST_PAIRS", pairs)
     rnd = random.Random(2)
     word = lambda: rnd.choice(["the", "of", "a", "Émile", "x1", "run", "blue", "sky", "go", "far"]) + str(rnd.randrange(40))
-    items = [(i, " ".join(word() for _ in range(rnd.choice([1, 4, 7, 12, 13, 14, 30, 60])))) for i in range(14)] + [(90, None), (91, ""), (None, "null id item with eight words here")]
+    items = [(i, " ".join(word() for _ in range(rnd.choice([1, 4, 7, 12, 13, 14, 30, 60])))) for i in range(14)] + [
+        (60, " ".join(["go1", "far2"] * 12)), (61, " ".join(["sky3"] * 20))] + [(90, None), (91, ""), (None, "null id item with eight words here")]
     docs = []
     for d in range(40):
-        words = [word() for _ in range(rnd.randrange(0, 80))]
+        words = ["go1", "far2"] * 15 + ["sky3"] * 25 if d % 13 == 5 else ["sky3"] * 14 + ["go1", "far2"] * 8 if d % 13 == 6 else [word() for _ in range(rnd.randrange(0, 80))]
         item = rnd.choice(items)[1]
         part = (item or "").split()
         for _ in range(rnd.randrange(5)):
@@ -69,3 +77,20 @@ def test_equals_search(spark):
     assert clean.columns == df.columns
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in docs if d not in {k[0] for k in want})
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_repeated_tokens_take_linear_time():
+    class Sent:
+        value = None
+
+    def search(item, text):
+        hashes, bounds = D.tokens_of(D.tokenizer(), pa.array([item]))
+        Sent.value = ([5], hashes, bounds)
+        return [tuple(c[0].as_py() for c in b.columns) for b in D._search(Sent)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])]
+
+    start = time.perf_counter()
+    assert search("same " * 1000, "same " * 100_000) == [(1, 5, 1000, 1000, 0, 1000)]
+    assert search("one two " * 500, "two one " * 50_000) == [(1, 5, 1000, 1000, 1, 1001)]
+    assert time.perf_counter() - start < 20
+    assert search("same " * 12, "same " * 5000) == [(1, 5, 12, 12, 0, 12)]
+    assert np.array_equal(search("a b c d e f g h i j k l m n", "z " * 50), [])
