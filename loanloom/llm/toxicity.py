@@ -2,7 +2,8 @@
 
 Confirmed toxic texts are the positives; other texts count as unlabelled, a mixture with
 a class prior. A linear classifier is trained on the estimator
-``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``: where the corrected risk of the
+``prior * R_p(+) + (1 - prior) / (1 - mixed) * max(0, R_u(-) - mixed * R_p(-))``, ``mixed``
+being the share of toxic ones among the unlabelled: where the corrected risk of the
 negatives falls below zero, its gradient is turned round, so the model cannot overfit by
 pushing the unlabelled texts below their true risk.
 
@@ -114,15 +115,18 @@ class Model:
 
 
 def nn_pu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, steps: int = STEPS,
-              batch: int = BATCH, rate: float = RATE, l2: float = L2, slack: float = SLACK, seed: int = 0) -> tuple[np.ndarray, float, int]:
+              batch: int = BATCH, rate: float = RATE, l2: float = L2, slack: float = SLACK, seed: int = 0,
+              mixed: float | None = None) -> tuple[np.ndarray, float, int]:
     """(weights, bias, corrections) of a linear classifier on sets of feature numbers below ``size``.
 
+    ``mixed`` is the share of positives among the unlabelled, ``prior`` where it is not given.
+
     The sigmoid loss, steps of Adam on batches of both kinds; ``corrections`` counts the
     steps that undid a negative part of the risk.
     """
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    turned = 0
+    turned, mixed = 0, prior if mixed is None else mixed
 
     def flat(rows):
         return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
@@ -140,13 +144,13 @@ def nn_pu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
         # calling z negative costs sigmoid(z), calling it positive sigmoid(-z)
         sp, su = sigmoid(np.bincount(pr, w[pf], batch)), sigmoid(np.bincount(ur, w[uf], batch))
         dp, du = sp * (1 - sp) / batch, su * (1 - su) / batch
-        gp = prior * np.bincount(pf, dp[pr], size + 1)
-        gn = np.bincount(uf, du[ur], size + 1) - gp
-        if su.mean() - prior * sp.mean() < -slack:
+        gp = np.bincount(pf, dp[pr], size + 1)
+        gn = (1 - prior) / (1 - mixed) * (np.bincount(uf, du[ur], size + 1) - mixed * gp)
+        if su.mean() - mixed * sp.mean() < -slack:
             turned += 1
             g = -gn
         else:
-            g = gn - gp
+            g = gn - prior * gp
         g[:size] += l2 * w[:size]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -163,9 +167,9 @@ def telling(counts: DataFrame, n_pos: int, n_other: int, most: int = FEATURES) -
     return good.orderBy(F.desc("z"), "feature").limit(most)
 
 
-def fit(known: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+def fit(known: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, mixed: float) -> Model:
     """Fit the weights of the known features and of the lengths."""
-    weights, bias, _ = nn_pu_fit(positive, unlabelled, prior, len(known) * LEVELS + LENGTHS)
+    weights, bias, _ = nn_pu_fit(positive, unlabelled, prior, len(known) * LEVELS + LENGTHS, mixed=mixed)
     return Model(known, weights, bias)
 
 
@@ -174,13 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     The sample is the ``positives`` toxic and ``unlabelled`` other documents of least id
     hash, so it is bounded and the same under any partitioning; ids are only used to pick
-    it. The prior is the share of toxic ones among all labelled documents. None where
-    there are no positives or no others.
+    it. The prior is the share of toxic ones among labelled documents (a null label is
+    none); were documents without a label as often toxic, the others would hold the share
+    ``mixed`` of toxic ones. None where there are no positives or no others.
     """
     ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = ids.join(marks, "doc_id", "left")
-    share = rows.filter("toxic IS NOT NULL").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    every, labelled, toxic_ones = rows.agg(F.count(F.lit(1)), F.count("toxic"), F.count(F.when(F.col("toxic") == 1, 1))).first()
 
     def least(kind, n: int) -> dict[int, int]:
         return {r.doc_id: r.copies for r in rows.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "copies").collect()}
@@ -189,6 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pos, unl = least(toxic, positives), least(~toxic, unlabelled)
     if not pos or not unl:
         return None
+    prior = toxic_ones / labelled
+    mixed = prior * (every - labelled) / (every - toxic_ones)
     wanted = {i: 1 for i in pos} | {i: 0 for i in unl}
 
     def chosen(batches):
@@ -238,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     table = texts.mapInArrow(sets, "doc_id long, kind long, numbers array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     numbers = [x.values.to_numpy().astype(np.int64) for x in table["numbers"]]
     kinds = table["kind"].to_pylist()
-    return fit(known, [r for r, k in zip(numbers, kinds) if k == 1], [r for r, k in zip(numbers, kinds) if k == 0], float(share))
+    return fit(known, [r for r, k in zip(numbers, kinds) if k == 1], [r for r, k in zip(numbers, kinds) if k == 0], prior, mixed)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
