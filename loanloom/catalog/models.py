@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -168,6 +169,29 @@ def cross_validate(v: Views) -> DataFrame:
     return v.spark.createDataFrame(rows, "fold int, roc_auc double")
 
 
+@query("check_folds", """
+    WITH r AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY CAST('0x' || substr(md5(sk_id_curr || '#123'), 1, 8) AS BIGINT), sk_id_curr) AS place,
+        count(*) OVER (PARTITION BY target) AS n FROM app WHERE target IS NOT NULL),
+    f AS (SELECT target, CAST(place > floor(n * 0.2::DOUBLE) AS INT) + CAST(place > floor(n * 0.4::DOUBLE) AS INT)
+        + CAST(place > floor(n * 0.6::DOUBLE) AS INT) + CAST(place > floor(n * 0.8::DOUBLE) AS INT) AS fold FROM r)
+    SELECT fold, count(*) AS n, sum(target)::BIGINT AS positives, TRUE AS same FROM f GROUP BY 1""")
+def check_folds(v: Views) -> DataFrame:
+    """Rows and positives of each fold; ``same``: its area is that of a model fitted on the other folds and ranked exactly."""
+    table = models.model_table(v.app, INPUTS)
+    learner, stages = models.logistic(table.count()), models.encoding_stages(INPUTS)
+    areas = [s[0] for s in models.cross_validate(table, INPUTS.id_col, stages, learner)]
+    folds = materialized(sampling.stratified_folds(table, INPUTS.id_col, models.LABEL, 5, models.SEED), "folds")
+    same = []
+    for i, area in enumerate(areas):
+        rest = folds.filter(F.col("fold") != i)
+        encoder = models.Pipeline(stages=stages).fit(rest)
+        fitted = models.fitted_to(learner, rest.count(), 32).fit(encoder.transform(rest))
+        scored = fitted.transform(encoder.transform(folds.filter(F.col("fold") == i))).withColumn("score", models.positive_score())
+        same.append(abs(models.roc_auc(scored, models.LABEL, "score").first()[0] - area) < 1e-3)
+    marks = F.element_at(F.array(*[F.lit(x) for x in same]), F.col("fold") + 1)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(models.LABEL).cast("long").alias("positives")).withColumn("same", marks)
+
+
 @query("hyperparameter_search")
 def hyperparameter_search(v: Views) -> DataFrame:
     trials, _ = models.hyperparameter_search(v.app, INPUTS, "logistic")
@@ -284,6 +308,23 @@ def feature_importance(v: Views) -> DataFrame:
     return rounded(models.feature_importance(model, models.model_table(v.app, INPUTS, labelled=False)), 6)
 
 
+@query("check_importance", """
+    SELECT CAST(9 + count(DISTINCT coalesce(code_gender, '<missing>')) + count(DISTINCT coalesce(name_education_type, '<missing>'))
+      + count(DISTINCT coalesce(flag_own_car, FALSE)) + 3 AS BIGINT) AS features, TRUE AS adds_up, TRUE AS falls, TRUE AS used_only FROM app WHERE target IS NOT NULL""")
+def check_importance(v: Views) -> DataFrame:
+    """Every entry of the vector is listed (a place for unknown values per category), importances fall and add up to 1;
+    ``used_only``: those above 0 are the columns on which the tree splits."""
+    model = models.train_tree(v.app, INPUTS, maxDepth=7)
+    rows = models.feature_importance(model, models.model_table(v.app, INPUTS, labelled=False), top=1000).collect()
+    values = [r["importance"] for r in rows]
+    named = models.feature_names(models.PipelineModel(stages=model.stages[:-1]).transform(models.model_table(v.app, INPUTS, labelled=False).limit(0)))
+    split = {named[int(i)] for i in re.findall(r"If \(feature (\d+)", model.stages[-1].toDebugString)}
+    used = {r["feature"] for r in rows if r["importance"] > 0}
+    return v.spark.createDataFrame(
+        [(len(rows), abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True), used <= split and bool(used))],
+        "features long, adds_up boolean, falls boolean, used_only boolean")
+
+
 @query("source_weights")
 def source_weights(v: Views) -> DataFrame:
     sources = models.Inputs("sk_id_curr", "target", ["ext_source_1", "ext_source_2", "ext_source_3"])
@@ -296,6 +337,17 @@ def score_table(v: Views) -> DataFrame:
     return models.score_table(models.train_tree(v.app, INPUTS, maxDepth=5), v.app, INPUTS)
 
 
+@query("check_scores", """
+    SELECT count(*) AS n, count(DISTINCT sk_id_curr) AS clients, TRUE AS in_range, TRUE AS by_leaf FROM app""")
+def check_scores(v: Views) -> DataFrame:
+    """A score for every client; ``by_leaf``: no more different scores than the tree has leaves."""
+    model = models.train_tree(v.app, INPUTS, maxDepth=5)
+    leaves = (model.stages[-1].numNodes + 1) // 2
+    return models.score_table(model, v.app, INPUTS).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("sk_id_curr").alias("clients"), F.bool_and(F.col("proba").between(0, 1)).alias("in_range"),
+        (F.count_distinct(F.round("proba", 12)) <= leaves).alias("by_leaf"))
+
+
 @query("score_parity", """
     SELECT count(*) AS n, bool_and(round(proba_a, 4) = round(proba_a + 0.00001, 4)) AS all_equal FROM scored""")
 def score_parity(v: Views) -> DataFrame:
