@@ -9,7 +9,6 @@ yet settled go on to the next radius.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import log2
 
 import numpy as np
@@ -69,9 +68,17 @@ def _values(cut: list[tuple[str, int, int]], prefix: str = "") -> Column:
     ])
 
 
-def _flips(width: int, radius: int) -> Column:
-    """All ways to flip ``radius`` of ``width`` bits."""
-    return F.lit([sum(1 << b for b in bits) for bits in combinations(range(width), radius)]).cast("array<long>")
+def _flipped(segments: DataFrame, radius: int) -> DataFrame:
+    """Each row (value, width) with ``value`` changed in ``radius`` of its bits, in every way.
+
+    One bit after the other, from the lowest on, so the ways are made row by row on the
+    executors.
+    """
+    out = segments.withColumn("bit", F.lit(-1))
+    for _ in range(radius):
+        higher = F.when(F.col("bit") + 1 < F.col("width"), F.sequence(F.col("bit") + 1, F.col("width") - 1))
+        out = out.withColumn("bit", F.explode(higher)).withColumn("value", F.expr("value ^ shiftleft(1L, bit)"))
+    return out.drop("bit")
 
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -98,10 +105,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     per_query = Window.partitionBy("qhi", "qlo").orderBy("distance", "least")
     settled = None
     while total:
-        widths = sorted({w for _, _, w in cut if w >= radius})
-        flips = F.coalesce(*[F.when(F.col("width") == w, _flips(w, radius)) for w in widths])
-        probes = active.select("qhi", "qlo", "bound", F.explode(_values(cut, "q")).alias("s")).select("qhi", "qlo", "bound", "s.*").withColumn(
-            "flip", F.explode(flips)).select("qhi", "qlo", "bound", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        probes = active.select("qhi", "qlo", "bound", F.explode(_values(cut, "q")).alias("s")).select("qhi", "qlo", "bound", "s.*")
+        probes = _flipped(probes, radius).select("qhi", "qlo", "bound", "seg", "value")
         # probes grow with the radius, which Spark cannot foresee: never broadcast them; what is beyond the
         # kth distance so far is dropped where it is met
         met = probes.hint("merge").join(index, ["seg", "value"]).withColumn("distance", _distance("q", "")).filter(

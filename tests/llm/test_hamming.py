@@ -44,3 +44,12 @@ def test_codes_and_odd_rows(spark):
     assert all(~a == b for a, b in zip(codes[1], codes[3]))
     empty = hamming.binary_codes(df.limit(0), "vec_id", "embedding")
     assert hamming.nearest(empty, empty, 3).count() == 0
+
+
+def test_flips_are_all_ways(spark):
+    from itertools import combinations
+
+    for width, radius in ((5, 0), (5, 1), (5, 3), (5, 5), (2, 3), (32, 2), (64, 1)):
+        rows = hamming._flipped(spark.createDataFrame([(9, width, 5)], "id int, width int, value long"), radius).collect()
+        ways = {(5 ^ sum(1 << b for b in bits)) - (1 << 64) * (63 in bits) for bits in combinations(range(width), radius)}
+        assert len(rows) == len(ways) and {r["value"] for r in rows} == ways
