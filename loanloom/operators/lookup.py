@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.core import col
+from ..sources.tables import materialized
 
 LOOKUP_ROWS = 20_000  # largest table that may be broadcast
 SPLIT_BYTES = 128 << 20  # read by a task
+TASK_ROWS = 25_000  # a learner gives to another task
 GROUP_ROWS = 500_000  # largest group that one task may sort or keep as value counts
 
 
@@ -52,6 +54,16 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if size < parts * SPLIT_BYTES else df
 
 
+def spread(df: DataFrame, rows_per_task: int = TASK_ROWS) -> DataFrame:
+    """A written table whose rows lie in too few files for its number of rows, written again in a file per core.
+
+    Bytes say little about the work of a learner: a million rows may be one small file and then one task.
+    Tables with less than ``rows_per_task`` rows per task stay as they are.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows_per_task)
+    return materialized(df.repartition(wanted), "spread") if wanted > df.rdd.getNumPartitions() else df
+
+
 def split_by_size(
     df: DataFrame, keys: list[str], limit: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:

@@ -20,7 +20,7 @@ from .cleaning import MISSING_NUMBER, MISSING_TEXT
 from ..sources.tables import materialized
 from . import boosting
 from .boosting import BoostedModel, Settings, Task
-from .lookup import GROUP_ROWS, attach_lookup
+from .lookup import GROUP_ROWS, attach_lookup, dealt, spread
 from .ordered import running_totals
 from .sampling import stratified_folds, stratified_split
 
@@ -59,7 +59,7 @@ def model_table(df: DataFrame, inputs: Inputs, labelled: bool = True) -> DataFra
     """Id, label and filled features; labelled tables also carry balanced class weights.
 
     A labelled table is written once, cut down to the model's columns: weights, encoders and
-    learners read that and not the features' whole history again.
+    learners read that and not the features' whole history again. Its rows are spread over the cores.
     """
     numbers = [F.coalesce(col(c).cast("double"), F.lit(float(MISSING_NUMBER))).alias(c) for c in inputs.numeric]
     texts = [F.coalesce(col(c).cast("string"), F.lit(MISSING_TEXT)).alias(c) for c in inputs.categorical]
@@ -67,7 +67,7 @@ def model_table(df: DataFrame, inputs: Inputs, labelled: bool = True) -> DataFra
         return df.select(inputs.id_col, *numbers, *texts)
     known = df.filter(col(inputs.target).isNotNull())
     table = known.select(inputs.id_col, col(inputs.target).cast("double").alias(LABEL), *numbers, *texts)
-    return balanced_weights(materialized(table, "model-table"), LABEL)
+    return balanced_weights(spread(materialized(table, "model-table")), LABEL)
 
 
 def encoding_stages(inputs: Inputs, scale: bool = True, expand: bool = True) -> list:
@@ -172,7 +172,7 @@ def positive_score(column: str = "probability") -> Column:
 
 def score_table(model: PipelineModel | BoostedModel, df: DataFrame, inputs: Inputs, name: str = "proba") -> DataFrame:
     """``(id, proba)``: default probability of every row."""
-    table = model_table(df, inputs, labelled=False)
+    table = dealt(model_table(df, inputs, labelled=False))
     if isinstance(model, BoostedModel):
         return model.score(table, name).select(inputs.id_col, name)
     scored = model.transform(table)

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from loanloom.operators import models, ordered
+from loanloom.catalog import models as queries
+from loanloom.operators import lookup, models, ordered
 
 INPUTS = models.Inputs("id", "target", ["x", "z"], ["c"])
 
@@ -106,3 +107,28 @@ def test_ensembles(people):
 def test_source_weights(people):
     weights = models.fitted_source_weights(people, models.Inputs("id", "target", ["x", "z"]), maxIter=4)
     assert weights["x"] > weights["z"] and sum(weights.values()) == pytest.approx(1, abs=0.011)
+
+
+def test_many_rows_of_one_small_file_go_to_several_tasks(spark, tmp_path):
+    spark.range(2 * lookup.TASK_ROWS + 10).repartition(1).selectExpr("id", "CAST(id % 2 AS INT) AS y", "CAST(id % 9 AS DOUBLE) AS x").write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1
+    table = models.model_table(one, models.Inputs("id", "y", ["x"]))
+    assert table.rdd.getNumPartitions() == min(2, spark.sparkContext.defaultParallelism) == 2
+    assert table.agg({"id": "sum", "*": "count"}).first() == one.agg({"id": "sum", "*": "count"}).first()
+    few = one.limit(lookup.TASK_ROWS)
+    assert models.model_table(few, models.Inputs("id", "y", ["x"])).rdd.getNumPartitions() == 1
+
+
+def test_judged_rows_are_scored_once(spark, tmp_path):
+    class Given:
+        app = spark.range(40).selectExpr(
+            "id AS sk_id_curr", "CAST(id % 2 AS INT) AS target", "CAST(id AS DOUBLE) AS x")
+    inputs = models.Inputs("sk_id_curr", "target", ["x"])
+    model = models.train_tree(Given.app, inputs, maxDepth=2)
+    old, queries.INPUTS = queries.INPUTS, inputs
+    try:
+        judged = queries._judged(Given, model)
+    finally:
+        queries.INPUTS = old
+    assert judged.count() == 40 and judged.inputFiles() and "Join" not in judged._jdf.queryExecution().executedPlan().toString()
