@@ -139,7 +139,7 @@ def log_scan_route(v: Views) -> DataFrame:
         F.when(F.col("sk_id_bureau") % 2 == 0, F.concat(F.lit('{"type": "bureau", "data": '), F.col("sk_id_bureau")))
         .otherwise(F.lit('{"type": "other", "data": {}}')).alias("value")
     )
-    credit_lines(v.bur).unionByName(balance_lines(v.pos)).unionByName(broken).write.text(path)
+    credit_lines(v.bur).unionByName(balance_lines(v.pos)).unionByName(broken).write.text(path, compression="snappy")
     routed = logs.log_scan_route(logs.read_log(v.spark, path))
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.catalog.registry import QUERIES
 from loanloom.operators import cleaning, quality
 from loanloom.sources import logs, tables
 
@@ -133,3 +134,19 @@ def test_bucketed_tables_join_without_exchange(spark):
         assert joined.count() == 1000 and joined.filter("y = 1").count() == 500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_log_that_is_routed_is_written_compressed(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "data"
+    spark.range(300).selectExpr(
+        "id AS o_orderkey", "id % 40 AS o_custkey", "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice", "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(900).selectExpr(
+        "id % 300 AS l_orderkey", "id AS l_partkey", "id % 7 AS l_suppkey", "CAST(1 AS DOUBLE) AS l_extendedprice", "CAST(0 AS DOUBLE) AS l_discount", "'O' AS l_linestatus",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(tables, "new_path", lambda spark, name: str(tmp_path / name))
+    counts = {r["route"]: r["n"] for r in QUERIES["log_scan_route"](spark, str(folder)).collect()}
+    assert counts == {"bureau": 300, "pos_cash": 900, "rejected": 43}
+    lines = spark.read.text(str(tmp_path / "log"))
+    plain = lines.selectExpr("sum(octet_length(value) + 1)").first()[0]
+    assert lines.count() == 1243 and sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*")) < plain / 2
