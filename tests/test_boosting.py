@@ -1,6 +1,7 @@
 """Boosted trees against a plain version on rows, split by split."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -212,3 +213,32 @@ def test_searches(table):
     assert models.roc_auc_of_each(held.withColumn("b", 1 - F.col("a")), "label", ["a", "b"])["b"] == pytest.approx(1 - best["roc_auc"])
     trials, model = models.search_forest(people, inputs, n=5, budgets=(2, 4))
     assert trials.count() == 5 and models.score_table(model, people, inputs).count() == N
+
+
+def test_only_paths_to_wanted_nodes_are_walked():
+    marks = np.arange(256) < 1
+    tree = boosting.Tree(
+        feature=[0, 1, 2, -1, -1, -1, -1], left_bins=[marks, marks, marks, None, None, None, None], child=[1, 3, 5, -1, -1, -1, -1],
+        value=[0.0] * 7, gain=[0.0] * 7, rows=[4] * 7)
+    bins = [np.array([0, 0, 1, 1], np.uint8), np.array([0, 1, 0, 1], np.uint8), None]  # no wanted node lies below the split on the last
+    assert [(v, rows.tolist()) for v, rows in boosting.rows_at(tree.plain(), bins, {4: 0})] == [(4, [1])]
+
+
+def test_splits_of_many_models_are_found_in_tasks(table, monkeypatch):
+    """The driver is sent a split per node, not the sums per bin from which it is found."""
+    binning = learn_bins(table, ["x", "z"], ["c"], 16)
+    tasks = [Task(Settings(rounds=2, depth=3, seed=s), frozenset([1])) for s in range(2)]
+
+    def trees():
+        return [m.text() for m in grow(table, ["x", "z"], ["c"], tasks, "label", "class_weight", "part", binning=binning, local_rows=0)]
+
+    right = trees()
+    monkeypatch.setattr(boosting, "FEW_TASKS", 0)
+    driver, found = os.getpid(), boosting.best_split
+
+    def in_a_task(*sums):
+        assert os.getpid() != driver
+        return found(*sums)
+
+    monkeypatch.setattr(boosting, "best_split", in_a_task)
+    assert trees() == right
