@@ -6,6 +6,7 @@ import random
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.core import col
 from .cleaning import MISSING_NUMBER, MISSING_TEXT
 from ..sources.tables import materialized
-from . import boosting
+from . import boosting, forests
 from .boosting import BoostedModel, Settings, Task
+from .forests import Forest, ForestModel
 from .lookup import GROUP_ROWS, attach_lookup, dealt, spread
 from .ordered import running_totals
 from .sampling import stratified_folds, stratified_split
@@ -170,10 +172,10 @@ def positive_score(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
 
-def score_table(model: PipelineModel | BoostedModel, df: DataFrame, inputs: Inputs, name: str = "proba") -> DataFrame:
+def score_table(model: PipelineModel | BoostedModel | ForestModel, df: DataFrame, inputs: Inputs, name: str = "proba") -> DataFrame:
     """``(id, proba)``: default probability of every row."""
     table = dealt(model_table(df, inputs, labelled=False))
-    if isinstance(model, BoostedModel):
+    if isinstance(model, (BoostedModel, ForestModel)):
         return model.score(table, name).select(inputs.id_col, name)
     scored = model.transform(table)
     return scored.select(inputs.id_col, positive_score().alias(name))
@@ -457,26 +459,40 @@ def search_boosted(
 
 def search_forest(
     df: DataFrame, inputs: Inputs, n: int | None = None, budgets: tuple[int, ...] = (4, 20, 100), seed: int = SEED,
-    space: dict | None = None, parallelism: int = 4,
-) -> tuple[DataFrame, PipelineModel]:
+    space: dict | None = None, validation: float = 0.25,
+) -> tuple[DataFrame, ForestModel]:
     """(trials, forest refitted with the best draw) by successive halving over the number of trees.
 
-    A budget is the per cent of a draw's own number of trees that is grown.
+    A budget is the per cent of a draw's own number of trees that is grown. All draws of a rung grow in step over one
+    table, and a draw that goes on keeps its trees; they are judged on one stratified validation part.
     """
     table = model_table(df, inputs)
     draws = draw_params(space or SPACES["forest"], TRIALS["forest"] if n is None else n, seed)
-    stages = encoding_stages(inputs)
+    parts = materialized(stratified_split(table, inputs.id_col, LABEL, {"train": 1 - validation, "validation": validation}, seed), "search")
+    train, held = parts.filter("split = 'train'"), parts.filter("split = 'validation'")
+    weights = np.zeros(2)
+    for r in train.groupBy(LABEL).agg(F.max(WEIGHT)).collect():
+        weights[int(r[0])] = r[1]
+    coding = forests.learn_coding(train, inputs.numeric, inputs.categorical)
+    blocks = forests.blocks_of(train, coding, inputs.id_col, LABEL)
+    grown: dict[int, list] = {}
+
+    def settings(i: int, percent: int) -> Forest:
+        d = {**FOREST, **draws[i]}
+        return Forest(max(1, d["numTrees"] * percent // 100), d["maxDepth"], d["minInstancesPerNode"], d.get("impurity", "gini"),
+                      d.get("featureSubsetStrategy", "auto"), seed + i)
 
     def judge(alive: list[int], budget: int) -> list[float]:
-        learner = forest()
-        maps = [_param_map(learner, {**draws[i], "numTrees": max(1, draws[i]["numTrees"] * budget // 100)}, 1) for i in alive]
-        return validate(table, inputs.id_col, stages, learner, maps, seed=seed, parallelism=parallelism)
+        forests.grow(blocks, coding, weights, {i: settings(i, budget) for i in alive}, grown)
+        scores = materialized(forests.scored(held, coding, weights, {f"m{i}": grown[i] for i in alive}, [LABEL]), "forest-scores")
+        areas = roc_auc_of_each(scores, LABEL, [f"m{i}" for i in alive])
+        return [areas[f"m{i}"] for i in alive]
 
-    trials, best = _trials(df, draws, halving(len(draws), list(budgets), judge))
-    learner = forest()
-    encoder = Pipeline(stages=stages).fit(table)
-    final = learner.copy(_param_map(learner, draws[best], 1))
-    return trials, PipelineModel(stages=[*encoder.stages, final.fit(encoder.transform(table))])
+    try:
+        trials, best = _trials(df, draws, halving(len(draws), list(budgets), judge))
+    finally:
+        blocks.unpersist()
+    return trials, forests.train(table, inputs.numeric, inputs.categorical, settings(best, 100), inputs.id_col, LABEL, weights)
 
 
 # ---- ensembles ---------------------------------------------------------------
@@ -597,9 +613,9 @@ def feature_names(transformed: DataFrame, column: str = FEATURES) -> list[str]:
     return [a.get("name", str(a["idx"])) for a in entries]
 
 
-def feature_importance(model: PipelineModel | BoostedModel, table: DataFrame, top: int = 100) -> DataFrame:
+def feature_importance(model: PipelineModel | BoostedModel | ForestModel, table: DataFrame, top: int = 100) -> DataFrame:
     """``(feature, importance)`` of the largest tree importances or linear coefficients."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, (BoostedModel, ForestModel)):
         rows = list(model.importance.items())
     else:
         last = model.stages[-1]
@@ -623,9 +639,9 @@ def fitted_source_weights(df: DataFrame, inputs: Inputs, digits: int = 2, **para
 
 # ---- from a model to decisions -------------------------------------------------
 
-def save_model(model: PipelineModel | BoostedModel, path: str) -> str:
+def save_model(model: PipelineModel | BoostedModel | ForestModel, path: str) -> str:
     """Write a fitted model, encoders included, to a folder that all machines share."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, (BoostedModel, ForestModel)):
         spark = SparkSession.active()
         spark.createDataFrame([(model.text(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
     else:
@@ -633,8 +649,8 @@ def save_model(model: PipelineModel | BoostedModel, path: str) -> str:
     return path
 
 
-def load_model(path: str, kind: str = "pipeline") -> PipelineModel | BoostedModel:
-    """A model that was written; ``kind`` is ``pipeline`` or ``boosted``."""
-    if kind == "boosted":
-        return BoostedModel.of_text(SparkSession.active().read.parquet(path).first()["model"])
+def load_model(path: str, kind: str = "pipeline") -> PipelineModel | BoostedModel | ForestModel:
+    """A model that was written; ``kind`` is ``pipeline``, ``boosted`` or ``forest`` (of a search)."""
+    if kind in ("boosted", "forest"):
+        return (BoostedModel if kind == "boosted" else ForestModel).of_text(SparkSession.active().read.parquet(path).first()["model"])
     return PipelineModel.load(path)
