@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -100,3 +101,22 @@ def test_least_score_follows_languages_and_scores():
         assert 1 / n < langid.least_score(unsure, n) < langid.least_score(sure, n) < 0.999
         assert langid.least_score(unsure, n) < 0.6 and abs(langid.least_score(np.zeros(0), n) - 1 / n) < 1e-9
     assert langid.least_score(np.ones(5), 1) <= 1
+
+
+def test_texts_reach_tasks_in_batches_bounded_by_bytes(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab cd ', 1000) AS text", "'en' AS lang", "'s' AS source", "6000L AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    before = spark.conf.get(P.BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(P.BATCH_LIMIT)
+        most = max(r.rows for r in P.columns_of(docs).mapInArrow(sizes, "rows long").collect())
+        assert 1 < most <= 1.1 * P.BATCH_BYTES / 6000
+        spark.conf.set(P.BATCH_LIMIT, "1m")
+        P.columns_of(docs)
+        assert spark.conf.get(P.BATCH_LIMIT) == "1m"  # the session's own limit stays
+    finally:
+        spark.conf.unset(P.BATCH_LIMIT) if before is None else spark.conf.set(P.BATCH_LIMIT, before)
