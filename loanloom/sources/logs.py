@@ -41,14 +41,14 @@ LINE_SCHEMA = (
 def printed_field(text: str | Column, key: str, dtype: str) -> Column:
     """One value out of a printed record; None and unreadable numbers are missing."""
     text = F.col(text) if isinstance(text, str) else text
+    # the key is found as a plain text, then it has to begin a word; nullif evaluates its input once
+    begin = rf"{key}(?<=\b{key})="
     if dtype != "string":
-        return F.regexp_extract(text, rf"\b{key}=([^,)]+)", 1).try_cast(dtype)
-    quoted = rf"""\b{key}=('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
-    raw = F.regexp_extract(text, quoted, 1)
-    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
-    return F.when(raw == "", None).when(F.instr(inner, "\\") == 0, inner).otherwise(
-        F.regexp_replace(inner, r"\\(.)", "$1")
-    )
+        raw = F.regexp_extract(text, rf"{begin}([^,)]+)", 1)
+        return F.nullif(F.nullif(raw, F.lit("")), F.lit("None")).try_cast(dtype)  # a cast that fails is slow
+    opened = rf"""{begin}('(?:[^'\\]++|\\.)*+(?=')|"(?:[^"\\]++|\\.)*+(?="))"""  # with the first quote, without the last
+    raw = F.nullif(F.regexp_extract(text, opened, 1), F.lit(""))
+    return F.regexp_replace(F.substr(raw, F.lit(2)), r"\\(.)", "$1")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,16 @@ def test_log_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "b")).count() == 2
 
 
+def test_printed_fields_are_searched_once(spark):
+    texts = [r"R(XK='x', K='a\'b')", "R(K='')", 'R(K="it\'s")', "R(K=None)", r"R(K='open\')", "R(XK=3, K=4)", "R(K=4.5x)", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    found = rows.select("i", logs.printed_field("t", "K", "string").alias("s"), logs.printed_field("t", "K", "bigint").alias("n"))
+    assert [(r["s"], r["n"]) for r in found.orderBy("i").collect()] == [
+        ("a'b", None), ("", None), ("it's", None), (None, None), (None, None), (None, 4), (None, None), (None, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract") == 2
+
+
 def test_log_functions_take_a_stream(spark, tmp_path):
     """Parsing is row by row, so the same functions serve a stream of log files."""
     (tmp_path / "x.log").write_text('{"type": "bureau", "data": {"CREDIT_TYPE": "c", "record": {"SK_ID_CURR": 5}}}\n')
