@@ -122,17 +122,20 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: i
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    """Mixes 32-bit words; products wrap."""
     for _ in range(2):
-        x = ((x >> np.uint64(16)) ^ x) * np.uint64(MIXER) & np.uint64(WORD - 1)
-    return (x >> np.uint64(16)) ^ x
+        x = ((x >> np.uint32(16)) ^ x) * np.uint32(MIXER)
+    return (x >> np.uint32(16)) ^ x
 
 
 def poisson_weights(first: np.ndarray, second: np.ndarray, iterations: np.ndarray) -> np.ndarray:
     """Poisson(1) weights, one row per iteration and one column per table row."""
-    step = (second[None, :] + iterations[:, None]) & np.uint64(WORD - 1)
-    u = _mix(first[None, :] ^ _mix(step))
-    cuts = np.array([int(p * WORD) for p in POISSON_CDF], dtype=np.uint64)
-    return np.searchsorted(cuts, u, side="right").astype(np.float64)
+    first, second, iterations = (x.astype(np.uint32) for x in (first, second, iterations))
+    u = _mix(first[None, :] ^ _mix(second[None, :] + iterations[:, None]))
+    weights = np.zeros(u.shape, np.uint8)
+    for p in POISSON_CDF:
+        weights += u >= int(p * WORD)
+    return weights.astype(np.float64)
 
 
 def with_poisson_weight(
@@ -193,11 +196,13 @@ def bootstrap_sums(
         sums: dict[str, np.ndarray] = {}
 
         def rows(held):
+            step = max(1, 100_000 // max(iterations, 1))  # features in a frame
             for name, acc in held.items():
-                for j, feature in enumerate(columns):
+                for at in range(0, len(columns), step):
+                    features = np.array(columns[at:at + step], object)
                     yield pd.DataFrame({
-                        "grp": name, "feature": feature, "iter": np.arange(iterations),
-                        "sw": acc[:, j, 0], "swx": acc[:, j, 1],
+                        "grp": name, "feature": np.repeat(features, iterations), "iter": np.tile(np.arange(iterations), len(features)),
+                        "sw": acc[:, at:at + step, 0].T.ravel(), "swx": acc[:, at:at + step, 1].T.ravel(),
                     })
 
         for pdf in batches:
@@ -208,14 +213,18 @@ def bootstrap_sums(
                     acc = sums.setdefault(name, np.zeros((iterations, len(columns), 2)))
                     for s, places in kinds.items():
                         x = whole[:, places]
-                        known = (~np.isnan(x)).astype(float)
+                        holes = np.isnan(x)
+                        some = np.flatnonzero(holes.any(axis=0))
+                        known = (~holes[:, some]).astype(float)
                         ends = [(end, (x == end).astype(float)) for end in (np.inf, -np.inf) if (x == end).any()]
                         x = np.where(np.isfinite(x), x, 0.0)
                         a, b = (rows_of[f"_{word}_{s}"].to_numpy().astype(np.uint64) for word in (0, 1))
                         for lo in range(0, iterations, block):
                             its = np.arange(lo, min(lo + block, iterations), dtype=np.uint64)
                             w = poisson_weights(a, b, its)
-                            acc[lo:lo + len(its), places, 0] += w @ known
+                            counts = np.repeat(w.sum(axis=1)[:, None], len(places), axis=1)
+                            counts[:, some] = w @ known  # whole columns share one count
+                            acc[lo:lo + len(its), places, 0] += counts
                             acc[lo:lo + len(its), places, 1] += w @ x
                             # an infinite value counts only where it was drawn
                             for end, where in ends:

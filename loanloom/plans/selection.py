@@ -70,6 +70,7 @@ def significant_features(df: DataFrame, preset: Preset, iterations: int = 1000,
         table = part if table is None else table.unionByName(part)
     if table is None:
         return df.sparkSession.createDataFrame([], "feature string, test string, vote int, keep int")
+    table = materialized(table, "tests")  # a few rows, read twice; the tests behind them are run once
     kept = stats.feature_vote(table, preset.rule).select("feature", "keep")
     return table.join(kept, "feature")
 

@@ -179,3 +179,10 @@ def test_selection(table):
     assert ("normal", "t_test") in tests and ("flat", "mann_whitney") in tests and ("d", "chi_squared") in tests
     keep = {r["feature"]: r["keep"] for r in rows}
     assert keep["tied"] == 1 and keep["d"] == 1
+
+
+def test_selection_runs_its_tests_once(table):
+    """Votes are read twice, by the vote and by the result; the resamples behind them are not drawn again."""
+    preset = selection.Preset(fill="median", ignore=("id", "target"), row_id="id")
+    found = selection.significant_features(table, preset, iterations=20)
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
