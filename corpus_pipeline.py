@@ -11,19 +11,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loanloom.llm import chunks, decontaminate, langid, partenum, secrets
+from loanloom.llm.batches import BATCH_BYTES, BATCH_LIMIT, bounded  # noqa: F401
 from loanloom.sources.tables import materialized, scan_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20  # of texts that Spark hands to a Python task at once, where the session sets no limit
 
 
 def columns_of(docs: DataFrame) -> DataFrame:
-    """The columns of documents. Without a limit Spark holds ten thousand texts, however long, per task on both sides."""
-    conf = docs.sparkSession.conf
-    if conf.get(BATCH_LIMIT, None) is None:
-        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
-    return docs.select(*COLUMNS)
+    """The columns of documents, which reach Python tasks in batches of limited bytes."""
+    return bounded(docs).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

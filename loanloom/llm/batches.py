@@ -7,8 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1 << 20
+WORD_BYTES = 1 << 18  # hashed at once: a byte takes some fifty while its word is found
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of texts that Spark hands to a Python task at once, where the session sets no limit
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -17,6 +21,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, of whose session Python tasks get batches of limited bytes. Without a limit Spark holds
+    ten thousand texts, however long, per task on both sides."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is None:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return docs
+
+
 def slices(batches, column: str | int = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``most`` bytes of the column, or one row."""
     for batch in batches:
@@ -61,7 +74,7 @@ class Words:
     bytes of a word are hashed.
     """
 
-    def __init__(self, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, block: int = BLOCK_BYTES, most: int | None = None):
+    def __init__(self, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, block: int = WORD_BYTES, most: int | None = None):
         self.space, self.values, self.block, self.most = space, _VALUES[lower], block, most
         self.powers = self.inverse = np.ones(0, np.uint64)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.tables import materialized
-from .batches import Words, mix, rows_of, slices
+from .batches import Words, bounded, mix, rows_of, slices
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -39,7 +39,8 @@ FINE_LEVEL = 10  # sets below 2 ** FINE_LEVEL features: every feature is a part
 SKETCH_BITS = 1024
 SIGNATURE_BITS = 48
 LEVEL_BITS = 5
-PACK_BYTES = 8 << 20
+PACK_BYTES = 2 << 20  # of texts whose signatures a task holds
+MEET_ROWS = 1 << 19  # signatures that meet those known at once
 STAR_ROUNDS = 2  # stars around other nodes before the full test
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -302,7 +303,7 @@ def meetings(docs: DataFrame, scheme: PartEnum, parts: int, width: int = SHINGLE
                 where = np.frombuffer(w, "<u2" if len(w) == 2 * n else "<u4")
                 held.append((sig.view("<u8").ravel(), np.frombuffer(u, "<i8")[where]))
                 rows += n
-                if rows >= 1 << 20:
+                if rows >= MEET_ROWS:
                     yield settle()
                     held.clear()
                     rows = 0
@@ -404,7 +405,7 @@ def similar_rows(docs: DataFrame, num: int = 3, den: int = 4, width: int = SHING
     compared by 64-bit feature hashes; ``node`` is the set's name and ``component`` the least
     of its component's, null for an empty set. ``docs`` is read several times.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     for seed in range(8):  # a set too clumped to have spare signatures is next to impossible; then another cut of the domain
         scheme = PartEnum(num, den, seed=seed)

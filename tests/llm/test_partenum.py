@@ -121,3 +121,15 @@ def test_another_seed_cuts_a_clumped_set_elsewhere(split, pick):
     bounds = np.array([0, 3000])
     met = [int(partenum.PartEnum(split=split, pick=pick, seed=seed).signatures(clumped, bounds)[2][0]) for seed in range(4)]
     assert min(met) > 1000 and len(set(met)) > 1
+
+
+def test_held_signatures_and_batches_are_bounded(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        partenum.similar_components(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))
+        assert int(spark.conf.get(limit)) == 4 << 20
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+    assert partenum.PACK_BYTES <= 2 << 20
