@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import materialized
-from .batches import mix
+from .batches import bounded, mix
 from .vocab import WordBlocks, byte_table, word_hashes
 
 TOP = 2000
@@ -38,7 +38,7 @@ SCALE = 2_000_000
 COVERED = 80  # per cent of a phrase's occurrences that lie in a longer one
 REACH = 3
 FILTER_BITS = 1 << 24
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 STOPS = byte_table(0x21, 0x2C, 0x2E, 0x3A, 0x3B, 0x3F, (0x0A, 0x0D))  # ! , . : ; ? and line ends
 WORD = ~(STOPS | byte_table(0x20, 0x09))
 UNKNOWN = "und"
@@ -152,7 +152,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, reach: int
     order is score and a descending, then the phrase's bytes. Repeated rows count again;
     other columns are not looked at; an empty table gives no rows.
     """
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
+    texts = bounded(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
     spark = docs.sparkSession
     words = materialized(count_phrases(texts, 1), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))

@@ -103,7 +103,7 @@ class WordBlocks:
         ends = np.flatnonzero(word & (~np.concatenate((word[1:], [False])) | edge[1:])) + 1 if len(data) else starts
         bounds = np.searchsorted(starts, offsets)
         row = rows_of(bounds)
-        breaks = np.cumsum(self.stop[data] | edge[:-1], dtype=np.int64) if len(data) else starts
+        breaks = np.cumsum(self.stop[data] | edge[:-1], dtype=np.int32) if len(data) else starts
         marks = np.concatenate(([0], np.cumsum(ends - starts)))
         kept = np.ascontiguousarray(_LOWER[data[word]])
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(marks), pa.py_buffer(kept)]).dictionary_encode()

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from loanloom.llm.batches import BATCH_BYTES, BATCH_LIMIT
 from loanloom.llm.collocations import bit_set, collocations, count_phrases
 
 
@@ -81,3 +82,13 @@ def test_blocks_and_sets(spark):
     kept = {r["phrase"] for r in count_phrases(df, 3, [[(0, 2, only)]]).collect()}
     assert kept == {p for p in plain if p.startswith("of the ")}
     assert count_phrases(df, 3, [[(0, 2, bit_set(two.limit(0)))]]).count() == 0
+
+
+def test_texts_come_in_batches_bounded_by_bytes(spark):
+    before = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(BATCH_LIMIT)
+        collocations(spark.createDataFrame([("a b", "en")], "text string, lang string"))
+        assert int(spark.conf.get(BATCH_LIMIT)) == BATCH_BYTES
+    finally:
+        spark.conf.unset(BATCH_LIMIT) if before is None else spark.conf.set(BATCH_LIMIT, before)
