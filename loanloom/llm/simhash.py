@@ -132,7 +132,8 @@ def links(prints: DataFrame, within: int = WITHIN, crowd: int = CROWD, codes: in
     cut = layout(prints.count() if codes is None else codes, within)
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= within
     index = materialized(prints.select(F.explode(_filed(cut, False)).alias("key"), F.col("fp").alias("other")), "index")
-    probes = prints.select("fp", F.explode(_filed(cut, True)).alias("key"))
+    # exploded rows are sized like the rows they come from, so Spark would broadcast them up to a gigabyte
+    probes = prints.select("fp", F.explode(_filed(cut, True)).alias("key")).hint("merge")
     crowded = materialized(index.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
     if crowded.isEmpty():
         met = probes.join(index, (probes["key"] == index["key"]) & (F.col("fp") < F.col("other")) & apart)

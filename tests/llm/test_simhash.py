@@ -102,6 +102,24 @@ def test_links_connect_what_all_pairs_connect(spark, crowd, codes):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_probes_are_not_broadcast(spark, crowd):
+    """Spark takes exploded rows for as few bytes as the rows they come from."""
+    prints = spark.createDataFrame([(1 << i,) for i in range(40)], "fp long")
+    plan = links(prints, crowd=crowd)._jdf.queryExecution().executedPlan().toString()
+    under = None  # how far a broadcast that the lines below belong to is indented
+    generated = 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        under = None if under is not None and depth <= under else under
+        if "BroadcastExchange" in line and under is None:
+            under = depth
+        if "Generate explode" in line:
+            generated += 1
+            assert under is None, plan
+    assert generated and "SortMergeJoin" in plan
+
+
 def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
