@@ -185,7 +185,7 @@ def learn_bins(table: DataFrame, numeric: list[str], categorical: list[str], bin
 
 @dataclass
 class BoostedModel:
-    """Trees after the best round, with the losses of all rounds that were grown."""
+    """Trees up to the best round, with the losses of all rounds that were grown; ``after`` are the trees that came after it."""
 
     binning: Binning
     base: float
@@ -193,6 +193,7 @@ class BoostedModel:
     settings: Settings
     losses: list[float]
     grown: int
+    after: list[Tree] = field(default_factory=list)
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
         out, columns = np.full(len(bins), self.base), np.ascontiguousarray(bins.T)
@@ -456,14 +457,14 @@ def _state(table: DataFrame, binning: Binning, bases: np.ndarray, label: str, we
     return chosen.mapInArrow(run, _STATE)
 
 
-def _advanced(blocks: RDD, trees: dict[int, Tree]) -> RDD:
-    """The blocks after adding one tree to each of some models."""
-    plain = {m: tree.plain() for m, tree in trees.items()}
+def _advanced(blocks: RDD, trees: dict[int, list[Tree]]) -> RDD:
+    """The blocks after adding trees to each of some models, one after the other."""
+    plain = [(m, tree.plain()) for m, added in trees.items() for tree in added]
 
     def add(block):
         y, w, part, bins, scores = block
         scores = scores.copy()
-        for m, tree in plain.items():
+        for m, tree in plain:
             for leaf, rows in rows_at(tree, bins):
                 scores[m][rows] += tree[3][leaf]
         return y, w, part, bins, scores
@@ -644,25 +645,32 @@ def _bases(table: DataFrame, tasks: list[Task], label: str, weight: str, part: s
 def grow(
     table: DataFrame, numeric: list[str], categorical: list[str], tasks: list[Task], label: str = "label",
     weight: str = "class_weight", part: str | None = None, bins: int = BINS, binning: Binning | None = None, local_rows: int = LOCAL_ROWS,
+    earlier: list[BoostedModel] | None = None,
 ) -> list[BoostedModel]:
     """Boosted models of all tasks over one table of complete rows; ``part`` holds small integers.
 
     A task with a validation part and patience ends ``patience`` rounds after its smallest
     weighted log loss there and keeps the trees up to it (the first one of equals). Nodes of
     at most ``local_rows`` rows are finished where their rows meet, the rest level by level;
-    both give the same trees.
+    both give the same trees. ``earlier`` are models of the same tasks, table and ``binning`` with
+    fewer rounds: they go on from their last trees and become what growing anew would give.
     """
     binning = binning or learn_bins(table, numeric, categorical, bins)
     features, models = len(binning.names), len(tasks)
     bases, sizes = _bases(table, tasks, label, weight, part)
     state = materialized(_state(table, binning, bases, label, weight, part), "boosting")
     ordered = np.array([True] * len(binning.numeric) + [False] * len(binning.categorical))
-    trees: list[list[Tree]] = [[] for _ in tasks]
-    losses: list[list[float]] = [[] for _ in tasks]
-    live = [m for m, t in enumerate(tasks) if t.settings.rounds > 0]
+    trees: list[list[Tree]] = [[*m.trees, *m.after] for m in earlier] if earlier else [[] for _ in tasks]
+    losses: list[list[float]] = [list(m.losses) for m in earlier] if earlier else [[] for _ in tasks]
+    live = [m for m, t in enumerate(tasks) if _goes_on(trees[m], t.settings) and not _spent(losses[m], t.settings)]
     draws = [np.random.default_rng([t.settings.seed, 7]) for t in tasks]
+    for m in live:  # the features of the trees at hand have been drawn
+        for _ in trees[m]:
+            draws[m].permutation(features)
     no_feature = np.zeros(features, bool)  # asks for losses alone
     blocks = _blocks(state, features, models)
+    if earlier:
+        blocks = _advanced(blocks, {m: trees[m] for m in live})
     held, before, grown = blocks.persist(StorageLevel.MEMORY_AND_DISK), None, 0
     width = held.getNumPartitions()
     try:
@@ -697,7 +705,8 @@ def grow(
                     unseen = {m: (Tree(), {0: 0}, tasks[m], no_feature) for m in live if m not in judged and tasks[m].held}
                     if unseen:
                         lost |= _sums(held, unseen, features, True, width, ordered)[1]
-                    ended = {m for m in live if _over(lost.get(m), losses[m], tasks[m].settings)}
+                    # the loss after an earlier model's last tree is known
+                    ended = {m for m in live if len(losses[m]) <= len(trees[m]) and _over(lost.get(m), losses[m], tasks[m].settings)}
                 if not wide:
                     for (m, node), sub in found.items():
                         growing[m].graft(node, sub)
@@ -711,13 +720,12 @@ def grow(
             new = {m: growing[m].finish() for m in live}
             for m, tree in new.items():
                 trees[m].append(tree)
-            # a tree of one leaf ends a model, unless its features were a draw
-            live = [m for m in live if len(trees[m]) < tasks[m].settings.rounds and (new[m].feature[0] >= 0 or tasks[m].settings.share < 1)]
+            live = [m for m in live if _goes_on(trees[m], tasks[m].settings)]
             last = [m for m in new if m not in live and tasks[m].held]
             grown += 1
             if not live and not last:
                 break
-            before, held = held, _advanced(held, new)
+            before, held = held, _advanced(held, {m: [tree] for m, tree in new.items()})
             if grown % WRITE_EVERY == 0:
                 held = _written(held, table.sparkSession, width)
             held = held.persist(StorageLevel.MEMORY_AND_DISK)
@@ -732,13 +740,22 @@ def grow(
     out = []
     for m, task in enumerate(tasks):
         best = int(np.argmin(losses[m])) if losses[m] and task.settings.patience else len(trees[m])
-        out.append(BoostedModel(binning, float(bases[m]), trees[m][:best], task.settings, losses[m], len(trees[m])))
+        out.append(BoostedModel(binning, float(bases[m]), trees[m][:best], task.settings, losses[m], len(trees[m]), trees[m][best:]))
     return out
 
 
+def _goes_on(trees: list[Tree], settings: Settings) -> bool:
+    """Are rounds left? A tree of one leaf ends a model, unless its features were a draw."""
+    return len(trees) < settings.rounds and (not trees or trees[-1].feature[0] >= 0 or settings.share < 1)
+
+
 def _over(lost: tuple[int, int] | None, losses: list[float], settings: Settings) -> bool:
     """Note the loss; has the model had its patience without a smaller one?"""
     if lost is None:
         return False
     losses.append(lost[0] / max(lost[1], 1))
-    return bool(settings.patience) and len(losses) - 1 - int(np.argmin(losses)) >= settings.patience
+    return _spent(losses, settings)
+
+
+def _spent(losses: list[float], settings: Settings) -> bool:
+    return bool(settings.patience and losses) and len(losses) - 1 - int(np.argmin(losses)) >= settings.patience

@@ -430,15 +430,18 @@ def _trials(df: DataFrame, draws: list[dict], found: list[tuple[int, int, float]
 
 
 def search_boosted(
-    df: DataFrame, inputs: Inputs, n: int | None = None, budgets: tuple[int, ...] = (5, 25, 125), seed: int = SEED,
+    df: DataFrame, inputs: Inputs, n: int | None = None, budgets: tuple[int | None, ...] = (5, 25, None), seed: int = SEED,
     space: dict | None = None, validation: float = 0.25, patience: int = PATIENCE["train"],
 ) -> tuple[DataFrame, BoostedModel]:
     """(trials, best model) by successive halving over rounds, judged on one stratified validation part.
 
     All draws of a rung grow in step over one table, so a rung of a hundred draws takes the
-    passes of a single model. A draw's own number of rounds is its limit.
+    passes of a single model. A draw that goes on keeps its trees. Its own number of rounds is
+    its limit, and the only one besides patience where a budget is None; such a rung is listed
+    with the largest number of all draws.
     """
     draws = draw_params(space or SPACES["boosted"], TRIALS["boosted"] if n is None else n, seed)
+    most = max([d["rounds"] for d in draws] + [b for b in budgets if b is not None])
     parts = stratified_split(model_table(df, inputs), inputs.id_col, LABEL, {"train": 1 - validation, "validation": validation}, seed)
     parts = materialized(parts.withColumn("part", (F.col("split") == "validation").cast("int")), "search")
     held = parts.filter("part = 1").select(LABEL, *inputs.numeric, *inputs.categorical)
@@ -447,13 +450,14 @@ def search_boosted(
 
     def judge(alive: list[int], budget: int) -> list[float]:
         tasks = [Task(Settings(**{**draws[i], "rounds": min(budget, draws[i]["rounds"]), "patience": patience, "seed": seed + i}), frozenset([1])) for i in alive]
-        models = boosting.grow(parts, inputs.numeric, inputs.categorical, tasks, LABEL, WEIGHT, "part", binning=binning)
+        earlier = [grown[i] for i in alive] if grown else None
+        models = boosting.grow(parts, inputs.numeric, inputs.categorical, tasks, LABEL, WEIGHT, "part", binning=binning, earlier=earlier)
         grown.update(zip(alive, models))
         names = {f"m{i}": m for i, m in zip(alive, models)}
         areas = roc_auc_of_each(boosting.scored(held, names), LABEL, list(names))
         return [areas[f"m{i}"] for i in alive]
 
-    trials, best = _trials(df, draws, halving(len(draws), list(budgets), judge))
+    trials, best = _trials(df, draws, halving(len(draws), [most if b is None else b for b in budgets], judge))
     return trials, grown[best]
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -200,6 +201,42 @@ def test_halving_keeps_the_best():
     assert [f[:2] for f in found] == [(i, 4 if i == 7 else 2 if i in (5, 6, 8, 9) else 1) for i in range(20)]
 
 
+@pytest.mark.parametrize("local_rows", [0, 10_000])
+def test_growth_goes_on(table, local_rows):
+    """Models that go on from earlier ones are those grown anew, trees after the best round included; one has had its patience before."""
+    binning = learn_bins(table, ["x", "z"], ["c"], 16)
+    kinds = [dict(depth=3, share=0.5, patience=3), dict(depth=2, rate=3.0, patience=1), dict(depth=2, patience=0), dict(depth=3, rate=2.0, patience=4, seed=9)]
+
+    def models_of(rounds, earlier=None):
+        tasks = [Task(Settings(rounds=rounds, **k), frozenset([1]) if k["patience"] else frozenset()) for k in kinds]
+        return grow(table, ["x", "z"], ["c"], tasks, "label", "class_weight", "part", binning=binning, local_rows=local_rows, earlier=earlier)
+
+    def whole(found):
+        return [(m.text(), [t.value for t in m.after]) for m in found]
+
+    first, right = models_of(3), models_of(6)
+    went_on = models_of(6, first)
+    assert whole(went_on) == whole(right) == whole(models_of(6, right))
+    assert all(b is a for m, k in zip(first, went_on) for a, b in zip([*m.trees, *m.after], [*k.trees, *k.after]))
+    assert [m.grown for m in first] == [3, 1, 3, 3] and went_on[1].grown == 1 and went_on[0].grown == 6 and first[3].after
+
+
+def test_last_rung_of_a_search_has_the_rounds_drawn(table, monkeypatch):
+    asked, real = [], boosting.grow
+
+    def one_round(df, numeric, categorical, tasks, *rest, **more):
+        asked.append([t.settings.rounds for t in tasks])
+        return real(df, numeric, categorical, [Task(replace(t.settings, rounds=1), t.held) for t in tasks], *rest, **more)
+
+    monkeypatch.setattr(boosting, "grow", one_round)
+    inputs = models.Inputs("id", "label", ["x", "z"], ["c"])
+    rows = models.search_boosted(table.drop("class_weight", "part"), inputs, n=6)[0].collect()
+    drawn = [d["rounds"] for d in models.draw_params(models.SPACES["boosted"], 6)]
+    top = max(r["budget"] for r in rows)
+    last = [r["trial"] for r in rows if r["budget"] == top]
+    assert asked[:2] == [[5] * 6, [25]] and asked[2] == [drawn[i] for i in last] and min(asked[2]) > 125 and top == max(drawn)
+
+
 def test_searches(table):
     inputs = models.Inputs("id", "label", ["x", "z"], ["c"])
     people = table.drop("class_weight", "part")
