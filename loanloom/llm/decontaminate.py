@@ -144,12 +144,17 @@ class Items:
         """
         own = self.tokens[self.bounds[item]:self.bounds[item + 1]]
         window, allowed = rule(len(own))
-        shifts = shifts[np.minimum(len(own), len(text) - shifts) - np.maximum(0, -shifts) >= window]
+        most = np.minimum(len(own), len(text) - shifts) - np.maximum(0, -shifts)
+        shifts, most = shifts[most >= window], most[most >= window]
         starts = np.arange(len(own) - window + 1)
         ends = np.minimum(np.arange(len(own)), len(starts) - 1)
         best = None
         for k in range(0, len(shifts), max(1, MOST_PAIRS // len(own))):
-            some = shifts[k:k + max(1, MOST_PAIRS // len(own)), None]
+            some, over = (x[k:k + max(1, MOST_PAIRS // len(own)), None] for x in (shifts, most))
+            if best is not None:  # no more tokens are equal than overlap, and none before the shift
+                some = some[(over > best[0]) | (over == best[0]) & (some < best[1])][:, None]
+                if not len(some):
+                    continue
             at = some + np.arange(len(own))
             same = (text[np.clip(at, 0, len(text) - 1)] == own) & (at >= 0) & (at < len(text))
             sums = np.zeros((len(some), len(own) + 1), np.int32)
